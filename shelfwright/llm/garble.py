@@ -46,7 +46,7 @@ EVIDENCE = {c[0]: 8.0 for c in CHAINS if c[1] == "utf-8"} | {LOST_MARK: 20.0, LO
 #: Chains between one-byte encodings: every value decodes, so the result has to score as clean, and the value less so.
 BYTE_FOR_BYTE = {c[0] for c in CHAINS if c[1] != "utf-8"}
 #: By how much (log probability of clean) a byte-for-byte inversion has to improve a value.
-MARGIN = 1.0
+MARGIN = 0.5
 LABELS = (CLEAN, *(c[0] for c in CHAINS), LOST_MARK, LOST_QUESTION)
 
 
@@ -162,7 +162,7 @@ def _admitted(v: str, label: str) -> tuple[bool, str | None]:
         ok = bool(re.fullmatch(r"[\W\dа-яёА-ЯЁ]+", before)) and bool(re.search("[а-яё]{2}", before))
     if ok and chain[0] == "cp1252_as_cp850":
         inner = re.search(r"[^\W\d_][^\w\s'’.,\-–:;()!?/&\"»]|[^\W\d_][–:;(/&\"][^\W\d_]", before)
-        ok = not inner and not any(a.islower() and b.isupper() for a, b in zip(before, before[1:])) and bool(re.search(r"[À-ÿŠŽšžŒœ’–—]", before))
+        ok = not inner and "\xad" not in v and not any(a.islower() and b.isupper() for a, b in zip(before, before[1:])) and bool(re.search(r"[À-ÿŠŽšžŒœ’–—]", before))
     return ok, before
 
 
