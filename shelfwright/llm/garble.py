@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ..util import spread
 
 #: Clean values of each group of scripts that the classifier is trained on, at most.
-TRAIN_VALUES = 1500
-DIMS = 4096
+TRAIN_VALUES = 500
+DIMS = 2048
 CLEAN, LOST_MARK, LOST_QUESTION = "clean", "lost_to_replacement_mark", "lost_to_question_mark"
 #: Chains of encodings: (name, encoding the text was written in, encoding it was read in, times).
 CHAINS = (
@@ -122,13 +122,14 @@ def train(clean: list[str], rounds: int = 200, rate: float = 20.0) -> np.ndarray
     share = 1 / np.maximum(np.bincount(labels, minlength=len(LABELS)), 1)
     weight = share[labels].astype(np.float32)
     weight /= weight.sum()
-    x = np.hstack([_features(texts), np.ones((len(texts), 1), np.float32)])
+    x = _features(texts)
     for _ in range(rounds):
-        z = x @ w
+        z = x @ w[:-1] + w[-1]
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         p[np.arange(len(labels)), labels] -= 1
-        pull = 0.9 * pull + x.T @ (p * weight[:, None]) + 1e-6 * w
+        p *= weight[:, None]
+        pull = 0.9 * pull + np.vstack([x.T @ p, p.sum(0)]) + 1e-6 * w
         w -= rate * pull
     return w
 
@@ -162,7 +163,8 @@ def _admitted(v: str, label: str) -> tuple[bool, str | None]:
         ok = bool(re.fullmatch(r"[\W\dа-яёА-ЯЁ]+", before)) and bool(re.search("[а-яё]{2}", before))
     if ok and chain[0] == "cp1252_as_cp850":
         inner = re.search(r"[^\W\d_][^\w\s'’.,\-–:;()!?/&\"»]|[^\W\d_][–:;(/&\"][^\W\d_]", before)
-        ok = not inner and "\xad" not in v and not any(a.islower() and b.isupper() for a, b in zip(before, before[1:])) and bool(re.search(r"[À-ÿŠŽšžŒœ’–—]", before))
+        caps = v == v.upper() and all(c.isascii() or c.isalpha() for c in v)  # capitals turn into capitals: nothing tells them apart
+        ok = not inner and not caps and "\xad" not in v and not any(a.islower() and b.isupper() for a, b in zip(before, before[1:])) and bool(re.search(r"[À-ÿŠŽšžŒœ’–—]", before))
     return ok, before
 
 
