@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..util import table
-from . import canon, garble, leaks, packing, script, subjects, variants
+from . import canon, entities, garble, leaks, packing, script, subjects, variants
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p2_found": lambda s, d: script.found(table(s, d, "books")),
         "p4_found": lambda s, d: canon.found(table(s, d, "books"), table(s, d, "library_entries"), table(s, d, "author_ref")),
+        "p5_found": lambda s, d: entities.found(table(s, d, "library_entries")),
         "p6_found": lambda s, d: variants.found(table(s, d, "books"), table(s, d, "author_aliases")),
         "p7_found": lambda s, d: garble.found(table(s, d, "books")),
         "p8_packs": lambda s, d: packing.packs(table(s, d, "documents"), table(s, d, "pack_sizes")),
