@@ -19,8 +19,12 @@ def width(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-distribute rows by high-cardinality keys, so that a small number of input files doesn't bound parallelism."""
-    return df.repartition(width(df.sparkSession), *keys)
+    """Hash-distribute rows by high-cardinality keys, so that a small number of input files doesn't bound parallelism.
+
+    By a hash of the keys: a repartition by the keys themselves is dropped after an aggregate on them, and adaptive execution then
+    merges its partitions by bytes, which leaves too few tasks for work that is heavy per row.
+    """
+    return df.repartition(width(df.sparkSession), F.xxhash64(*keys))
 
 
 def shared_dir(spark: SparkSession) -> str:
