@@ -31,8 +31,8 @@ TRAIN_DOCS = 12_000
 BEAM, SOURCES = 8, 8
 #: Counts that pull a term's weight to the average; log odds that the terms of a sentence have to reach.
 SMOOTH, NO_SUBJECT = 2.0, 1.4
-#: Divergences from the average between which a term's weight grows from none to full.
-DULL = (0.5, 1.1)
+#: Divergences from the average, as shares of the greatest possible, between which a term's weight grows from none to full.
+DULL = (0.2, 0.44)
 NONE = ""
 _SPLIT = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+|\n+")
 _LEAD = re.compile(r"^\s*(?:\[\d{1,2}:\d{2}(?::\d{2})?\]|\[\w+\]|[-*>•#]+|\d+[.)]|\w+:)\s*(?=\S)")
@@ -84,7 +84,7 @@ class Model:
         col = np.concatenate([[vocab[t] for t in sorted(set(s))] for s, _ in pairs])
         # a term speaks for a subject as far as sentences with it are of that subject more often than sentences are;
         # what all subjects have in common speaks for none of them, in whatever language it is
-        post = can[:, :-1] / can[:, :-1].sum(1, keepdims=True).clip(1)
+        post, most = can[:, :-1] / can[:, :-1].sum(1, keepdims=True).clip(1), np.log(max(k - 1, 2))
         for n in range(rounds):
             mass = np.zeros((len(vocab), k - 1))
             np.add.at(mass, col, post[row] * count[row, None])
@@ -92,7 +92,7 @@ class Model:
             p = (mass + SMOOTH * usual) / (mass.sum(1, keepdims=True) + SMOOTH)
             lift = np.log(p / usual)
             # terms that differ little from the average (divergence in nats) are of no subject
-            sharp = (((p * lift).sum(1, keepdims=True) - DULL[0]) / (DULL[1] - DULL[0])).clip(0, 1)
+            sharp = (((p * lift).sum(1, keepdims=True) / most - DULL[0]) / (DULL[1] - DULL[0])).clip(0, 1)
             lift = lift.clip(-3, 4) * sharp
             z = np.zeros((len(pairs), k))
             np.add.at(z[:, :-1], row, lift[col])
