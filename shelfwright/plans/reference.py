@@ -13,6 +13,7 @@ from ..functions import paths as P
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import catalog as C
+from ..operators import fuzzy as Z
 from ..operators import library as L
 from ..operators import state as St
 from ..util import table
@@ -373,6 +374,21 @@ def title_similarity(s, d):
     return w.select("a", "b", F.round(S.ratio(a, b), 6).alias("ratio"), F.round(S.token_sort_ratio(a, b), 6).alias("sorted"), F.round(S.token_set_ratio(a, b), 6).alias("sets"), F.round(S.partial_ratio(a, b), 6).alias("part"), S.near_match(a, b).alias("near"))
 
 
+@query()
+def near_duplicate_titles(s, d):
+    """Search: titles of the entries whose id is divisible by 20 against all titles, by ratio."""
+    e = table(s, d, "library_entries").select("entry_id", T.dedup_title(c("title")).alias("text"))
+    return Z.links(e.where("entry_id % 20 = 0"), e)
+
+
+@query()
+def library_diff_fuzzy(s, d):
+    """Search: source titles of the entries whose id is divisible by 20 against all target titles; a link means matched."""
+    e = table(s, d, "library_entries").select("entry_id", "library", T.dedup_title(c("title"), c("author")).alias("text"))
+    out = Z.links(e.where("library = 'source' and entry_id % 20 = 0"), e.where("library = 'target'"), "token_set", same=True)
+    return out.select("text", F.when(c("n_links") > 0, "matched").otherwise("missing").alias("status"), "n_links")
+
+
 # sums, windows, top-k
 
 @query("select part_group, count(*) as files, sum(size_bytes) as bytes, sum(floor(duration_s)::bigint) as seconds from library_entries where part_group <> '' group by part_group")
