@@ -17,6 +17,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,23 +32,28 @@ RUN, SEED = 12, 3
 MAX_ITEM_WORDS = 2_000_000
 #: A sentence in more than this share of the items (and in three at least) is a lead-in.
 SHARED = 0.05
+#: Share of a run's words that may be other words.
+OTHER = 0.14
 #: Words of context that the alignment looks at around a match.
 MARGIN = 24
 DEPTHS = (1, 2, 4, 8, 16, 32)
 _WORD = re.compile(r"[^\W_]+(?:['’‑-][^\W_]+)*")
+_MARKS, _INNER = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff\ufe20-\ufe2f​‌‍­]"), re.compile("['’‑-]")
 _LAYOUT = re.compile(r"\[\d{1,2}:\d{2}(?::\d{2})?\]")
 
 
 def words(text: str) -> list[str]:
     """Words in lower case without accents, marks inside words and time stamps."""
-    flat = unicodedata.normalize("NFKD", _LAYOUT.sub(" ", text))
-    flat = "".join(c for c in flat if not unicodedata.combining(c) and c not in "​‌‍­").lower()
-    return [re.sub(r"['’‑-]", "", w) for w in _WORD.findall(flat)]
+    flat = _LAYOUT.sub(" ", text)
+    if not flat.isascii():
+        flat = _MARKS.sub("", unicodedata.normalize("NFKD", flat))
+    return [w if w.isalnum() else _INNER.sub("", w) for w in _WORD.findall(flat.lower())]
 
 
-def _slips(word: str) -> set[str]:
+@lru_cache(maxsize=100_000)
+def _slips(word: str) -> frozenset[str]:
     """The word and what is left of it without one letter; two words within one slip share a member."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 3 else {word}
+    return frozenset({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 3 else {word})
 
 
 class Items:
@@ -70,6 +76,7 @@ class Items:
         count = Counter(x for w in self.words for x in set(w))
         self.rare = [np.array([count[x] <= max(2, 0.02 * len(self.ids)) for x in w]) for w in self.words]
         self.near: list[dict[str, list[int]]] = []
+        self.known: list[dict[str, list[int]]] = [{} for _ in self.words]
         for w in self.words:
             near = defaultdict(list)
             for k, x in enumerate(w):
@@ -81,6 +88,16 @@ class Items:
         self.owner = np.concatenate([np.full(len(n) + 1, k) for k, n in enumerate(numbers)]) if numbers else np.zeros(0, int)
         self.place = np.concatenate([np.arange(len(n) + 1) for n in numbers]) if numbers else np.zeros(0, int)
 
+    def places(self, k: int, word: str) -> list[int]:
+        """Where an item has a word, but for a slip (remembered for words that come again)."""
+        known = self.known[k]
+        if word not in known:
+            if len(known) > 5000:
+                known.clear()
+            item, near = self.words[k], self.near[k]
+            known[word] = sorted({j for s in _slips(word) for j in near.get(s, ()) if abs(len(item[j]) - len(word)) < 2})
+        return known[word]
+
 
 def suffix_ranks(flat: np.ndarray) -> dict[int, np.ndarray]:
     """Ranks of all suffixes by their first 1, 2, 4 .. words (prefix doubling); argsort of the last is the suffix array."""
@@ -125,16 +142,18 @@ def _resumes(same: np.ndarray, rare: np.ndarray, i: int, j: int, step: int) -> b
     return False
 
 
-def _aligned(doc: list[str], k: int, items: Items) -> list[tuple[int, int, int, int]]:
-    """Aligned stretches of an item in a window of words: (item from, item to, doc from, doc to), by repeated local alignment."""
-    item, near = items.words[k], items.near[k]
-    n, m = len(doc), len(item)
-    same = np.zeros((n, m), bool)
+def _same(doc: list[str], k: int, items: Items) -> np.ndarray:
+    """Which words of a window are which words of an item, but for a slip."""
+    same = np.zeros((len(doc), len(items.words[k])), bool)
     for i, w in enumerate(doc):
-        for s in _slips(w):
-            for j in near.get(s, ()):
-                if abs(len(item[j]) - len(w)) < 2:
-                    same[i, j] = True
+        if at := items.places(k, w):
+            same[i, at] = True
+    return same
+
+
+def _aligned(same: np.ndarray, k: int, items: Items) -> list[tuple[int, int, int, int]]:
+    """Aligned stretches of an item in a window of words: (item from, item to, doc from, doc to), by repeated local alignment."""
+    n, m = same.shape
     out, rows = [], np.where(same, 1.0, -1.2)
     used = np.zeros(n, bool)
     for _ in range(8):
@@ -151,7 +170,7 @@ def _aligned(doc: list[str], k: int, items: Items) -> list[tuple[int, int, int,
             row[1:][better], kind[1:][better] = skip[better], 3
             best[i, 1:], step[i, 1:] = row, kind
         i, j = np.unravel_index(np.argmax(best), best.shape)
-        if best[i, j] < SEED:
+        if best[i, j] < SEED + 1:
             break
         to = (j, i)
         hit, wrong_rare, right_rare, other = 0, 0, 0, 0
@@ -171,7 +190,7 @@ def _aligned(doc: list[str], k: int, items: Items) -> list[tuple[int, int, int,
         length = to[0] - j
         # a run without any name of the item has to be unchanged, and not go on beyond another name
         nameless = right_rare == 0 and (other > 0 or _resumes(same, items.rare[k], i - 1, j - 1, -1) or _resumes(same, items.rare[k], to[1], to[0], 1))
-        if not nameless and wrong_rare <= right_rare * 0.34 and other <= 0.14 * length:
+        if not nameless and wrong_rare <= right_rare * 0.34 and other <= OTHER * length:
             out.append((j, to[0], i, to[1]))
     return out
 
@@ -207,20 +226,26 @@ def search(ids: list[int], texts: list[str | None], items: Items) -> list[tuple[
         return found
     doc = np.searchsorted(begin, places, "right") - 1
     pairs = np.unique(np.stack([doc, items.owner[asked], items.place[asked], places - begin[doc]], 1), axis=0)
+    # documents with one match of an item only have no run of it
+    new = np.any(np.diff(pairs[:, :3], axis=0, prepend=-1) != 0, axis=1)
+    both = pairs[:, 0] * (len(items.ids) + 1) + pairs[:, 1]
+    kinds, number = np.unique(both, return_inverse=True)
+    pairs = pairs[np.bincount(number, new, len(kinds))[number] > 1]
+    if not len(pairs):
+        return found
     groups = np.flatnonzero(np.any(np.diff(pairs[:, :2], axis=0) != 0, axis=1)) + 1
     for g in np.split(pairs, groups):
         d, k = int(g[0, 0]), int(g[0, 1])
-        if len(np.unique(g[:, 2])) < 2:
-            continue
         w, stretches = own[d], []
         at = np.unique(g[:, 3])
-        for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * MARGIN) + 1):
-            lo, hi = max(0, part[0] - MARGIN), min(len(w), part[-1] + SEED + MARGIN)
-            window = w[lo:hi]
-            rare = items.rare[k]
-            if len(part) < 6 and not any(rare[j] and abs(len(items.words[k][j]) - len(x)) < 2 for x in window for s in _slips(x) for j in items.near[k].get(s, ())):
-                continue  # a few words in common and none of the item's own names
-            stretches += [(a, b, i + lo, j + lo) for a, b, i, j in _aligned(window, k, items)]
+        windows = [(max(0, part[0] - MARGIN), min(len(w), part[-1] + SEED + MARGIN)) for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * MARGIN) + 1)]
+        seen = [_same(w[lo:hi], k, items) for lo, hi in windows]
+        # a run needs most of its words somewhere in the windows
+        there = np.cumsum(np.concatenate([[0], np.any([x.any(0) for x in seen], axis=0)]))
+        if (there[RUN:] - there[:-RUN]).max() < RUN - int(OTHER * RUN):
+            continue
+        for (lo, _), x in zip(windows, seen):
+            stretches += [(a, b, i + lo, j + lo) for a, b, i, j in _aligned(x, k, items)]
         n = _longest(stretches, items.ends[k])
         if n >= RUN:
             found.append((ids[d], items.ids[k], n))
