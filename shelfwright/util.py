@@ -27,6 +27,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(width(df.sparkSession), F.xxhash64(*keys))
 
 
+def clustered(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key together, for grouped Python work, in a number of partitions that adaptive execution doesn't merge by bytes."""
+    return df.repartition(width(df.sparkSession) + 1, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors, from spark.checkpoint.dir; a folder of the session's own where that is unset."""
     sc = spark.sparkContext
