@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..util import blank, cut, spread
+from ..util import blank, clustered, cut, spread
 from . import garble
 from .names import NICKNAMES, ORG_WORDS, distance, near, parse, same_given
 
@@ -99,7 +99,7 @@ def radius_join(names: DataFrame, sample: int = SAMPLE, radius: int = RADIUS) ->
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(join_cell(list(pdf["name"]), radius), columns=["a", "b"])
 
-    return spread(own, "name").mapInPandas(assign, "cell string, name string").groupBy("cell").applyInPandas(within, "a string, b string").distinct()
+    return clustered(spread(own, "name").mapInPandas(assign, "cell string, name string"), "cell").groupBy("cell").applyInPandas(within, "a string, b string").distinct()
 
 
 # people
@@ -216,7 +216,7 @@ def people(values: DataFrame, bound: int = GIVEN) -> DataFrame:
     up = center.select(F.col("surname").alias("center"), F.col("center").alias("above"))
     center = center.join(up, "center").select("surname", F.col("above").alias("center"))
     placed = read_names.join(center, "surname").select("center", "spelling", "n", "parts", "junior")
-    return placed.groupBy("center").applyInPandas(lambda pdf: _people(pdf, given), "spelling string, person string")
+    return clustered(placed, "center").groupBy("center").applyInPandas(lambda pdf: _people(pdf, given), "spelling string, person string")
 
 
 def found(books: DataFrame, aliases: DataFrame) -> DataFrame:
