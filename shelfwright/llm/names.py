@@ -47,6 +47,7 @@ class Name(NamedTuple):
     rest: str  # what follows " - " in a folder name
 
 
+@lru_cache(maxsize=50_000)
 def parse(value: str | None) -> Name:
     """Read a typed name. Separators, titles, roles and legal forms are noise; a folder's title goes to `rest`."""
     text = fold(value or "").replace("_", " ")
