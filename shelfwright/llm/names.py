@@ -79,7 +79,17 @@ def distance(a: str, b: str) -> int:
     if a == b:
         return 0
     seen: dict[str, int] = {}
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    a, b = a[head:], b[head:]
+    tail = 0
+    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = (a[:-tail], b[:-tail]) if tail else (a, b)  # what is common at the ends costs nothing
     n, m = len(a), len(b)
+    if not n or not m:
+        return n + m
     big = n + m
     d = [[big] * (m + 2) for _ in range(n + 2)]
     for i in range(n + 1):
