@@ -135,10 +135,10 @@ def _people(pdf: pd.DataFrame, given: frozenset[str]) -> pd.DataFrame:
     for _, p, _, n in rows:
         if p and len(p[0]) > 2:
             name = NICKNAMES.get(p[0], p[0])
-            full[name] += n * (10 if name in given else 1)
+            full[name] += n
     heads: list[str] = []  # distinct given names, the surest first
     says: dict[str, str | None] = {}
-    for name in sorted(full, key=lambda g: (-full[g], g)):
+    for name in sorted(full, key=lambda g: (g not in given, -full[g], g)):
         like = [h for h in heads if same_given(name, h) >= 2 and not (name in given and len(name) > 3)]
         if like:
             says[name] = like[0] if len(like) == 1 or same_given(name, like[0]) > 2 else None
