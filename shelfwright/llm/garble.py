@@ -42,11 +42,13 @@ CHAINS = (
     ("cp1251_as_cp1252", "cp1251", "cp1252", 1),
 )
 #: What a strict check that few clean values pass by chance adds to a label's score (log odds).
-EVIDENCE = {c[0]: 8.0 for c in CHAINS if c[1] == "utf-8"} | {LOST_MARK: 20.0, LOST_QUESTION: 4.0}
+EVIDENCE = {c[0]: 8.0 for c in CHAINS if c[1] == "utf-8"} | {LOST_MARK: 20.0, LOST_QUESTION: 12.0, "sign": 6.0}
 #: Chains between one-byte encodings: every value decodes, so the result has to score as clean, and the value less so.
 BYTE_FOR_BYTE = {c[0] for c in CHAINS if c[1] != "utf-8"}
 #: By how much (log probability of clean) a byte-for-byte inversion has to improve a value.
 MARGIN = 0.5
+#: Labels after which a value can still be damaged once more.
+REPEATED = {1 + i for i, c in enumerate(CHAINS) if c[2] in ("cp1252", "latin-1") and c[1] == "utf-8"}
 LABELS = (CLEAN, *(c[0] for c in CHAINS), LOST_MARK, LOST_QUESTION)
 
 
@@ -138,6 +140,20 @@ def _scores(values: list[str], w: np.ndarray) -> np.ndarray:
     return _features(values) @ w[:-1] + w[-1]
 
 
+def _sign_in_word(v: str) -> bool:
+    """A sign beyond ASCII (box, fraction, degree ...) beside a letter: what letters turn into."""
+    return any(not c.isascii() and unicodedata.category(c) in ("No", "So", "Sm", "Sc", "Sk") and (v[i - 1 : i].isalpha() or v[i + 1 : i + 2].isalpha()) for i, c in enumerate(v))
+
+
+def _evidence(v: str, label: str) -> float:
+    """What strict checks say for a label, in log odds."""
+    if label == LOST_QUESTION:  # a question mark right before a letter; at the end of a word only the classifier tells
+        return EVIDENCE[label] if re.search(r"\?[^\W\d_]", v) else 0.0
+    if label in BYTE_FOR_BYTE:
+        return EVIDENCE["sign"] if _sign_in_word(v) else 0.0
+    return EVIDENCE.get(label, 0.0)
+
+
 def _cleaner(before: str, v: str, w: np.ndarray) -> bool:
     """Whether the restored value is likelier to be clean than the value, both with composed accents."""
     s = _scores([unicodedata.normalize("NFC", before), unicodedata.normalize("NFC", v)], w)
@@ -159,12 +175,15 @@ def _admitted(v: str, label: str) -> tuple[bool, str | None]:
     chain = CHAINS[LABELS.index(label) - 1]
     before = invert(v, chain)
     ok = before is not None and before != v and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in before)
+    if ok and chain[1] == "utf-8":  # look-alike letters can decode by chance, to signs that text doesn't have
+        ok = before.isascii() or all(c.isascii() or unicodedata.category(c)[0] in "LMP" or c in "\xa0\u200c\u200d€" or LABELS.index(label) in REPEATED for c in before)
     if ok and chain[1] == "cp1251":  # any bytes decode: the result has to be words of one script
         ok = bool(re.fullmatch(r"[\W\dа-яёА-ЯЁ]+", before)) and bool(re.search("[а-яё]{2}", before))
     if ok and chain[0] == "cp1252_as_cp850":
         inner = re.search(r"[^\W\d_][^\w\s'’.,\-–:;()!?/&\"»]|[^\W\d_][–:;(/&\"][^\W\d_]", before)
         caps = v == v.upper() and all(c.isascii() or c.isalpha() for c in v)  # capitals turn into capitals: nothing tells them apart
-        ok = not inner and not caps and "\xad" not in v and not any(a.islower() and b.isupper() for a, b in zip(before, before[1:])) and bool(re.search(r"[À-ÿŠŽšžŒœ’–—]", before))
+        lowered = v.strip()[:1].isupper() and before.strip()[:1].islower()
+        ok = not inner and not caps and not lowered and "\xad" not in v and not any(a.islower() and b.isupper() for a, b in zip(before, before[1:])) and bool(re.search(r"[À-ÿŠŽšžŒœ’–—]", before))
     return ok, before
 
 
@@ -180,11 +199,11 @@ def classify(values: list[str], w: np.ndarray, depth: int = 3) -> list[tuple[str
                 ok, before = _admitted(v, label)
                 if ok:
                     possible[k] = before
-                    s[k] += EVIDENCE.get(label, 0) if label != LOST_QUESTION or re.search(r"\w\?\w", v) else 0
+                    s[k] += _evidence(v, label)
             for k in np.argsort(-s, kind="stable"):
                 if k in possible:
                     before = possible[k]
-                    if LABELS[k] in BYTE_FOR_BYTE and not _cleaner(before, v, w):
+                    if LABELS[k] in BYTE_FOR_BYTE and not _sign_in_word(v) and not _cleaner(before, v, w):
                         continue
                     best = (LABELS[k], before)
                     break
