@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import domains as D
 from ..functions import paths as P
@@ -92,7 +93,8 @@ def path_order(s, d):
     rows = table(s, d, "library_entries").select("entry_id", P.order_key(c("path")).alias("k")).orderBy("k", "entry_id").select("entry_id", F.monotonically_increasing_id().alias("m"))
     part = F.shiftright("m", 33)
     sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), c("b.part") < c("a.part"), "left").groupBy("a.part").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    # a row for each partition
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     return rows.withColumn("part", part).join(F.broadcast(before), "part").select("entry_id", (c("before") + c("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
 
 
@@ -180,8 +182,6 @@ def hms_render(s, d):
 @query("""select name, row_number() over (order by list_transform(regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(regexp_replace(p, '^0+([0-9])', '\\1'), 20, '0') else p end), name) as rank
 from (select distinct regexp_extract(path, '[^/]+$') as name from library_entries where regexp_matches(regexp_extract(path, '[^/]+$'), '^[ -~]+$'))""")
 def natural_sort_rank(s, d):
-    from pyspark.sql.window import Window
-
     rows = table(s, d, "library_entries").select(P.name_of(c("path")).alias("name")).where(c("name").rlike("^[ -~]+$")).distinct()
     key = F.transform(F.regexp_extract_all(F.lower("name"), F.lit(r"([0-9]+|[^0-9]+)"), 1), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p))
     return rows.select("name", F.row_number().over(Window.orderBy(key, "name")).cast("bigint").alias("rank"))
@@ -414,8 +414,6 @@ def best_array_score(s, d):
 @query("""with f as (select part_group as book, row_number() over (partition by part_group order by string_split(path, '/'), entry_id) as pos, floor(coalesce(duration_s, 0) * 1000)::bigint as ms from library_entries where part_group <> ''),
 r as (select book, pos, ms, sum(ms) over (partition by book order by pos) as end_ms, count(*) over (partition by book) as n from f) select book, pos, (end_ms - ms)::bigint as start_ms, end_ms::bigint as end_ms from r where n > 1""")
 def chapter_offsets(s, d):
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("part_group").orderBy(P.order_key(c("path")), "entry_id")
     files = table(s, d, "library_entries").where("part_group <> ''").select(c("part_group").alias("book"), F.row_number().over(w).cast("bigint").alias("pos"), F.coalesce("duration_s", F.lit(0.0)).alias("duration_s"))
     return St.chapters(files)
@@ -433,8 +431,6 @@ def topk_candidates(s, d):
     rows = table(s, d, "catalog_raw").select("record_id", p.alias("p")).where("p.asin is not null and p.title is not null").select("record_id", "p.asin", "p.title", F.filter(F.transform("p.authors", lambda a: a["name"]), lambda n: n.isNotNull()).alias("authors"))
     own = table(s, d, "books").where("parsed_asin is not null").groupBy(c("parsed_asin").alias("asin")).agg(F.min("parsed_title").alias("hint"), F.min("parsed_author").alias("who"))
     scored = C.scored(rows.join(own, "asin"), c("hint"), c("who"), c("record_id"), ["asin"])
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("asin").orderBy(F.desc("score"), "record_id"))
     return scored.withColumn("rank", rank).where("rank <= 3").select("asin", "record_id", "rank", F.round("score", 6).alias("score"))
 
@@ -553,8 +549,8 @@ def trigger_outcome(s, d):
 k as (select distinct {PARENT} as parent from library_entries where library = 'target') select parent, newest from f, n where epoch(now) - epoch(newest) >= 120 and parent not in (select parent from k)""")
 def unprocessed_stable(s, d):
     e = table(s, d, "library_entries").select("library", P.parent_of(c("path")).alias("parent"), c("modified_at").alias("mtime"))
-    now = e.agg(F.max("mtime").alias("now"))
-    stable = e.where("library = 'source'").groupBy("parent").agg(F.max("mtime").alias("newest")).join(F.broadcast(now)).where(F.unix_timestamp(c("now").cast("timestamp")) - F.unix_timestamp(c("newest").cast("timestamp")) >= 120)
+    now = F.lit(e.agg(F.max("mtime")).first()[0])  # one value
+    stable = e.where("library = 'source'").groupBy("parent").agg(F.max("mtime").alias("newest")).where(F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(c("newest").cast("timestamp")) >= 120)
     return stable.join(e.where("library = 'target'").select("parent").distinct(), "parent", "left_anti").select("parent", "newest")
 
 
