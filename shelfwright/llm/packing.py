@@ -28,6 +28,8 @@ from ..util import cut, spread, width
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Different lengths that third members of patterns are taken from (evenly over all lengths present).
 THIRDS = 24
+#: Kinds of packs at most (each document stands once in each).
+MAX_KINDS = 100
 
 
 @lru_cache(maxsize=2)
@@ -163,9 +165,14 @@ def _slots(plans: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int, tu
 
 def pieces(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """pack_kind, capacity, doc_id, piece, from_token, n_tokens: documents, cut only where they exceed the capacity."""
-    kinds = sizes.select("pack_kind", F.col("capacity_tokens").cast("int").alias("capacity")).where("pack_kind is not null and capacity_tokens > 0").distinct()
+    kinds = sizes.select("pack_kind", F.col("capacity_tokens").cast("int").alias("capacity")).where("pack_kind is not null and capacity_tokens > 0").distinct().orderBy("pack_kind", "capacity").limit(MAX_KINDS + 1).collect()
+    if len(kinds) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of packs")
+    each = F.array(*[F.struct(F.lit(k["pack_kind"]).alias("pack_kind"), F.lit(k["capacity"]).alias("capacity")) for k in kinds])
+    if not kinds:
+        each = F.array().cast("array<struct<pack_kind:string,capacity:int>>")
     n = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("capacity"))).cast("int")
-    rows = counts.join(F.broadcast(kinds)).select("*", F.explode(F.sequence(F.lit(1), n)).alias("piece"))
+    rows = counts.select("*", F.inline(each)).select("*", F.explode(F.sequence(F.lit(1), n)).alias("piece"))
     begin = ((F.col("piece") - 1) * F.col("capacity")).cast("int")
     return rows.select("pack_kind", "capacity", "doc_id", "piece", begin.alias("from_token"), F.least("capacity", F.col("n_tokens") - begin).cast("int").alias("n_tokens"))
 
