@@ -53,14 +53,13 @@ def first_of_key(df: DataFrame, key: list[str], order: list[Column], blank: Colu
 def library_diff(entries: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """status (matched or missing), author, title, norm_title, path of the source's books against the target, by equal normal title.
 
-    entries: library, path. Books are collapsed and the source's repeats dropped first. Both joins are on the title key.
+    entries: library, path. Books are collapsed and the source's repeats dropped first. The join is on the title key.
     """
     books = collapse_parts(book_entries(entries, "library"), "library")
     own = first_of_key(books.where(F.col("library") == source), ["norm_author", "norm_title"], [F.col("from_group"), P.order_key(F.col("path"))], F.col("norm_title") == "")
     titles = books.where((F.col("library") == target) & (F.col("norm_title") != "")).select("norm_title").distinct()
-    cols = ["author", "title", "norm_title", "path"]
-    hit, miss = own.join(titles, "norm_title", "left_semi"), own.join(titles, "norm_title", "left_anti")
-    return hit.select(F.lit("matched").alias("status"), *cols).unionByName(miss.select(F.lit("missing").alias("status"), *cols))
+    # one left join instead of a semi and an anti join: the books are made once
+    return own.join(titles.withColumn("hit", F.lit(True)), "norm_title", "left").select(F.when(F.col("hit"), "matched").otherwise("missing").alias("status"), "author", "title", "norm_title", "path")
 
 
 def duplicate_titles(files: DataFrame, path: str = "path") -> DataFrame:
