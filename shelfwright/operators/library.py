@@ -157,9 +157,18 @@ def folder_reuse(wanted: DataFrame, folders: DataFrame) -> DataFrame:
     f = folders.select("parent", "actual").distinct().withColumn("an", T.compare_folder(F.col("actual")))
     exact = w.join(f.select("parent", F.col("actual").alias("desired")), ["parent", "desired"], "left_semi").select("parent", "desired", F.col("desired").alias("actual"), F.lit(0).alias("rank"))
     equal = w.join(f.withColumnRenamed("an", "dn"), ["parent", "dn"]).select("parent", "desired", "actual", F.lit(1).alias("rank"))
-    # near folders share a word
-    words = lambda c: F.explode(S.tokens(F.col(c))).alias("word")
-    share = w.select("parent", "desired", "dn", words("dn")).join(f.select("parent", "actual", "an", words("an")), ["parent", "word"]).select("parent", "desired", "dn", "actual", "an").distinct()
+    # Near names have equal sets of words but for stop words, or, with many words, all but one (or, with very many, some) in common
+    def words_keys(name: str) -> Column:
+        all_ = F.array_sort(S.tokens(F.col(name)))
+        told = F.concat(F.lit("n:"), F.array_join(F.array_except(all_, F.array(*map(F.lit, D.STOP_WORDS))), " "))
+        n = F.size(all_)
+        but_one = F.transform(all_, lambda _, i: F.concat(F.lit("s:"), F.array_join(F.filter(all_, lambda __, j: j != i), " ")))
+        whole = F.array(F.concat(F.lit("s:"), F.array_join(all_, " ")))
+        each = F.transform(all_, lambda x: F.concat(F.lit("t:"), x))
+        none = F.array().cast("array<string>")
+        return F.explode(F.array_distinct(F.concat(F.array(told), F.when(n >= 6, F.concat(whole, but_one)).otherwise(none), F.when(n >= 11, each).otherwise(none)))).alias("word")
+
+    share = w.select("parent", "desired", "dn", words_keys("dn")).join(f.select("parent", "actual", "an", words_keys("an")), ["parent", "word"]).select("parent", "desired", "dn", "actual", "an").distinct()
     near = share.where(S.near_match(F.col("dn"), F.col("an"))).select("parent", "desired", "actual", F.lit(2).alias("rank"))
     best = exact.unionByName(equal).unionByName(near).groupBy("parent", "desired").agg(F.min_by("actual", F.struct("rank", "actual")).alias("actual"))
     return w.join(best, ["parent", "desired"], "left").select("parent", "desired", F.coalesce("actual", "desired").alias("result"))
