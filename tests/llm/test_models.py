@@ -204,6 +204,15 @@ def test_entities(spark):
     assert entities.found(e.where("false")).count() == 0
 
 
+def test_authors_of_one_title_meet(spark):
+    """Initials, given-name slips and other orders, with given names as long as the surname and on no list."""
+    alike = [("f sellow", "fenella sellow"), ("fenella sellow", "f m sellow"), ("fenela sellow", "sellow"), (",sellow fenella", "f sellow"), ("enella sellow", "f sellow"), ("ulrikka ond", "ulrika ond"), ("ann lee", "lee ann"), ("fsellow", "fenella sellow")]
+    assert all(entities.keys("glass tide", "", a)[1] & entities.keys("glass tide", "", b)[1] for a, b in alike)
+    rows = [(2 * i + k, ("source", "target")[k], who, f"glass tide {'xyzvwkqj'[i] * 5}", "", "") for i, pair in enumerate(alike) for k, who in enumerate(pair)]
+    own = spark.createDataFrame(rows, "unit bigint, library string, who string, name string, volume string, alt string")
+    assert {(r["a"], r["b"]) for r in entities.candidates(own, "source", "target").collect()} >= {(2 * i, 2 * i + 1) for i in range(len(alike))}
+
+
 def test_transitivity(spark):
     v = spark.createDataFrame([(1, 10, 0.99, 10, 40), (1, 11, 0.9, 2, 40), (2, 12, 0.8, -1, 40)], "a bigint, b bigint, p double, w int, t int")
     got = {(r["a"], r["b"]): r["p"] for r in entities.transitive(v).collect()}
