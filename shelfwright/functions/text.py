@@ -162,16 +162,15 @@ def strip_html(col: Column) -> Column:
 
 
 def sanitize(col: Column, most: int = 255) -> Column:
-    """A name safe as a file name, of at most `most` bytes; an extension is kept, characters are never cut."""
+    """A name safe as a file name, of at most `most` bytes; an extension is kept (whole, even one that is longer than that),
+    characters are never cut."""
     s = chain(col, SANITIZE)
     ext = F.regexp_extract(s, r"(?s)^.+(\.[^.]+)$", 1)
     stem = F.substring(s, F.lit(1), F.length(s) - F.length(ext))
-    chars = F.split(stem, "")
-    fit = F.aggregate(
-        chars,
-        F.struct(F.lit("").alias("t"), F.lit(False).alias("full")),
-        lambda acc, c: F.when(acc["full"] | (F.octet_length(F.concat(acc["t"], c, ext)) > most), F.struct(acc["t"].alias("t"), F.lit(True).alias("full"))).otherwise(F.struct(F.concat(acc["t"], c).alias("t"), F.lit(False).alias("full"))),
-    )["t"]
+    # the bytes that there is room for, in hex, as far as they are whole characters
+    room = F.greatest(F.lit(most) - F.octet_length(ext), F.lit(0))
+    whole = F.regexp_extract(F.hex(F.substring(F.substring(stem, 1, most).cast("binary"), F.lit(1), room)), "^(?:[0-7].|[CD].{3}|E.{5}|F.{7})*+", 0)
+    fit = F.unhex(whole).cast("string")
     return F.when(F.octet_length(s) <= most, s).otherwise(F.concat(fit, ext))
 
 

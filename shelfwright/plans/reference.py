@@ -162,6 +162,13 @@ def sanitize_name(s, d):
     return table(s, d, "books").where("length(source_path) < 60").select("source_path").distinct().select("source_path", T.sanitize(p).alias("safe"), T.sanitize_chapter(p).alias("chapter"))
 
 
+@query()
+def sanitize_name_all(s, d):
+    """Every source path and every text of a document as a file name and as a chapter title: names of any length, the long ones cut to 255 bytes."""
+    values = table(s, d, "books").select(c("source_path").alias("value")).unionByName(table(s, d, "documents").select(c("text").alias("value")))
+    return values.where("value is not null").distinct().select("value", T.sanitize(c("value")).alias("safe"), T.sanitize_chapter(c("value")).alias("chapter"))
+
+
 @query(f"select doc_id, {sql_chain('text', T.HTML)} as plain from documents where text is not null")
 def strip_html(s, d):
     return table(s, d, "documents").where("text is not null").select("doc_id", T.strip_html(c("text")).alias("plain"))
