@@ -194,6 +194,19 @@ def natural_sort_rank(s, d):
     return rows.select("name", F.row_number().over(Window.orderBy(key, "name")).cast("bigint").alias("rank"))
 
 
+@query()
+def natural_sort_rank_all(s, d):
+    """Every file name, of any script: digit runs of any length as numbers, the rest by code points of its lower case."""
+    names_ = table(s, d, "library_entries").select(P.name_of(c("path")).alias("name")).where("name <> ''").distinct()
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    key = F.transform(F.regexp_extract_all(F.lower("name"), F.lit(r"([0-9]+|[^0-9]+)"), 1), lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p))
+    # by range partitions, as path_order
+    rows = names_.withColumn("k", key).orderBy("k", "name").select("name", F.monotonically_increasing_id().alias("m"))
+    part = F.shiftright("m", 33)
+    before = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.withColumn("part", part).join(F.broadcast(before), "part").select("name", (c("before") + c("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
+
+
 @query("""select book_hash, substr(sha256(source_path || chr(10)), 1, 16) as h from books group by all""")
 def item_hash16(s, d):
     return table(s, d, "books").select("book_hash", T.hash16(F.concat(c("source_path"), F.lit("\n"))).alias("h")).distinct()

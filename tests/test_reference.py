@@ -37,3 +37,20 @@ def test_sanitize_name_all(spark, tmp_path):
         for r in got:
             assert r["safe"] == brute_safe(r["value"])
             assert r["chapter"] == re.sub("  +", " ", re.sub(r'[/\\:"*?<>|;]+', " ", r["value"])).strip()
+
+
+def test_natural_sort_rank_all(spark, tmp_path):
+    own = ["ch10.mp3", "ch2.mp3", "Ch002.mp3", "Été 10", "Été 9", "été 9", "Тайна 2", "Тайна 10", "тайна 1", "“Q” 3", "冬 1", "\U0001f600 1", "7 " + "9" * 30, "7 1" + "0" * 30, "!a", "naïve – 3"]
+    folder = write(spark, tmp_path / "t", library_entries=([(f"A/{n}",) for n in [*own, own[0]]] + [(None,)], "path string"))
+
+    def key(name):
+        low = spark_lower[name]
+        return [(f"{len(p.lstrip('0') or '0'):010d}" + (p.lstrip("0") or "0") if p[0] in "0123456789" else p) for p in re.findall("[0-9]+|[^0-9]+", low)], name
+
+    for at in (folder, SF):
+        paths = spark.read.parquet(f"{at}/library_entries.parquet").selectExpr("path").where("path is not null").distinct().collect()
+        want = {n for r in paths if (n := ([p for p in r["path"].split("/") if p] or [""])[-1])}
+        spark_lower = {r["n"]: r["low"] for r in spark.createDataFrame([(n,) for n in want], "n string").selectExpr("n", "lower(n) low").collect()}
+        got = {r["name"]: r["rank"] for r in R.QUERIES["natural_sort_rank_all"](spark, at).collect()}
+        assert got == {n: i for i, n in enumerate(sorted(want, key=key), 1)}
+    assert any(not n.isascii() for n in got)
