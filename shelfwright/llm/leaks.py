@@ -156,7 +156,7 @@ def _aligned(same: np.ndarray, k: int, items: Items) -> list[tuple[int, int, int
     n, m = same.shape
     out, rows = [], np.where(same, 1.0, -1.2)
     used = np.zeros(n, bool)
-    for _ in range(8):
+    while True:  # each turn uses up a word at least
         best = np.zeros((n + 1, m + 1))
         step = np.zeros((n + 1, m + 1), np.int8)
         for i in range(1, n + 1):
@@ -170,7 +170,7 @@ def _aligned(same: np.ndarray, k: int, items: Items) -> list[tuple[int, int, int
             row[1:][better], kind[1:][better] = skip[better], 3
             best[i, 1:], step[i, 1:] = row, kind
         i, j = np.unravel_index(np.argmax(best), best.shape)
-        if best[i, j] < SEED + 1:
+        if best[i, j] < SEED:
             break
         to = (j, i)
         hit, wrong_rare, right_rare, other = 0, 0, 0, 0

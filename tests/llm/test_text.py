@@ -128,6 +128,23 @@ def test_leaks_found(spark):
     assert leaks.found(docs.where("false"), items).count() == 0 and leaks.found(docs, items.where("false")).count() == 0
 
 
+def test_leak_behind_many_decoys():
+    common = [f"c{k}" for k in range(40)]
+    named = lambda x: [f"{x}{k}" if k % 7 == 5 else w for k, w in enumerate(common)]
+    items = leaks.Items([(i, " ".join(named(x)) + ".") for i, x in enumerate(("ulla", "brandt", "ketilom", "tovesson"))])
+    decoys = [" ".join(named(f"other{n}n")) + "." for n in range(9)]
+    real = " ".join(named("brandt")[8:24])
+    assert [(d, i) for d, i, _ in leaks.search([1], [" ".join(decoys)], items)] == []
+    assert [(d, i) for d, i, _ in leaks.search([1], [" ".join([*decoys, "so it went on and on", real])], items)] == [(1, 1)]
+
+
+def test_sentence_of_three_words_joins():
+    parts = ["Ulla gave Brand seven green lanterns.", "Tove laughed loudly.", "Then Ketil carried everything quickly home."]
+    items = leaks.Items([(7, " ".join(parts))])
+    between = " ".join(f"z{k}" for k in range(20)) + "."
+    assert leaks.search([1], [f" {between} ".join(parts)], items) == [(1, 7, 15)]
+
+
 def test_words():
     assert leaks.words("Toll-keeper’s CAFÉ [00:12] x") == ["tollkeepers", "cafe", "x"]
     assert re.fullmatch(r"\w+", leaks.words("a")[0])
