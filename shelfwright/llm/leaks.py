@@ -1,8 +1,8 @@
 """Evaluation passages leaking into training documents, by suffix arrays of the documents.
 
 Documents are cut into shards (the batches of a partition). A shard's words are numbered by the vocabulary of the evaluation items
-and its suffix array is built by prefix doubling. Every suffix of every item is binary-searched in it, which gives the longest
-verbatim matches and their places. Around them an exact check aligns item and document word by word: letter slips and single other
+and its suffix array is built by prefix doubling. The first three words of every suffix of every item are binary-searched in it; the
+array serves these seeds only, no longest verbatim match is taken from it. Around the seeds an exact check aligns item and document word by word: letter slips and single other
 or added words are small changes, other text may stand between whole sentences, but a passage with other names is no leak.
 
 Items are a fixed, small set (checked against `MAX_ITEM_WORDS`) that goes to every task; documents are never gathered.
