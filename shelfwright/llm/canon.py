@@ -99,7 +99,7 @@ class Reference:
         if name.kind != "person":
             return 0
         fitting = []
-        for score, e in self.candidates(name.words)[:60]:
+        for score, e in self.candidates(name.words):
             if score < THRESHOLD:
                 break
             if (fit := self.fits(name, e)) > 0:

@@ -42,6 +42,13 @@ def test_canon():
         assert r.meant(v) == want, v
 
 
+def test_canon_among_many_of_one_surname():
+    others = [(i, f"{a}{b}{c} Wendwick") for i, (a, b, c) in enumerate(((a, b, c) for a in "CDFGHJKLMNP" for b in "aeiou" for c in "rt"), 10)]
+    assert canon.Reference([*others, (2, "Benedikta Wendwick")]).meant("B. Wendwick") == 2
+    assert canon.Reference([*others, (3, "Bas Wendwick")]).meant("B. Wendwick") == 3
+    assert canon.Reference([*others, (2, "Benedikta Wendwick"), (3, "Bas Wendwick")]).meant("B. Wendwick") == 0
+
+
 def test_canon_found(spark):
     b = spark.createDataFrame([("h", "Ted Wendwick", "t", 1), ("h", "Ted Wendwick", "t", 2), ("i", None, "t", 1), ("j", " ", "t", 1), ("k", "Nobody Real", "t", 1)], "book_hash string, parsed_author string, parsed_title string, author_id int")
     e = spark.createDataFrame([(7, "wendwick, edward")], "entry_id bigint, norm_author string")
