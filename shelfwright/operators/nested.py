@@ -145,6 +145,51 @@ def _objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(list(seen.values()), columns=["object_hash", "child", "fields"])
 
 
+def _text(v) -> str | None:
+    return v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
+
+
+def _product(v) -> dict | None:
+    """The outermost object with an asin and a title, under any wrapping objects or lists (breadth first)."""
+    level = [v]
+    while level:
+        opened = [_opened(x) for x in level]
+        for x in opened:
+            if isinstance(x, dict) and x.get("asin") is not None and x.get("title") is not None:
+                return x
+        level = [y for x in opened for y in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()) if isinstance(y, (dict, list)) or isinstance(y, str) and y.strip()[:1] in ("[", "{")]
+    return None
+
+
+def _names(v) -> list[str]:
+    """Names of authors given as objects, strings or lists of either."""
+    v = _opened(v)
+    if isinstance(v, list):
+        return [n for x in v for n in _names(x)]
+    name = v.get("name") if isinstance(v, dict) else v
+    return [] if name is None else [_text(name)]
+
+
+def products(raw: DataFrame) -> DataFrame:
+    """record_id, asin, title, authors (names) of every record with an asin and a title, in whatever form it is given."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for rid, payload in zip(pdf["record_id"], pdf["payload"]):
+                try:
+                    v = json.loads(payload)
+                except (ValueError, TypeError, RecursionError):
+                    continue
+                book = _book(v) or {}
+                own = book if book.get("asin") is not None and book.get("title") is not None else _product(v)
+                if own is not None:
+                    rows.append((rid, _text(own["asin"]), _text(own["title"]), [n for x in _entries("author", (book or own).get("authors")) for n in _names(x)]))
+            yield pd.DataFrame(rows, columns=["record_id", "asin", "title", "authors"])
+
+    return _source(raw).mapInPandas(run, "record_id bigint, asin string, title string, authors array<string>")
+
+
 def _source(raw: DataFrame) -> DataFrame:
     return spread(raw.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("payload")).where("record_id is not null and payload is not null"), "record_id")
 

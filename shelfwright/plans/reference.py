@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import fuzzy as Z
 from ..operators import library as L
+from ..operators import nested as N
 from ..operators import state as St
 from ..util import table
 
@@ -447,8 +448,7 @@ def position_bonus(s, d):
 @query()
 def topk_candidates(s, d):
     """The best three catalog products for each record title among those of one asin, by score."""
-    p = F.from_json("payload", "asin string, title string, authors array<struct<name:string>>")
-    rows = table(s, d, "catalog_raw").select("record_id", p.alias("p")).where("p.asin is not null and p.title is not null").select("record_id", "p.asin", "p.title", F.filter(F.transform("p.authors", lambda a: a["name"]), lambda n: n.isNotNull()).alias("authors"))
+    rows = N.products(table(s, d, "catalog_raw"))
     own = table(s, d, "books").where("parsed_asin is not null").groupBy(c("parsed_asin").alias("asin")).agg(F.min("parsed_title").alias("hint"), F.min("parsed_author").alias("who"))
     scored = C.scored(rows.join(own, "asin"), c("hint"), c("who"), c("record_id"), ["asin"])
     rank = F.row_number().over(Window.partitionBy("asin").orderBy(F.desc("score"), "record_id"))

@@ -1,3 +1,4 @@
+import json
 import re
 from pathlib import PurePosixPath
 
@@ -54,3 +55,14 @@ def test_natural_sort_rank_all(spark, tmp_path):
         got = {r["name"]: r["rank"] for r in R.QUERIES["natural_sort_rank_all"](spark, at).collect()}
         assert got == {n: i for i, n in enumerate(sorted(want, key=key), 1)}
     assert any(not n.isascii() for n in got)
+
+
+def test_topk_reads_every_shape(spark, tmp_path):
+    book = lambda authors: {"asin": "A", "title": "Tide", "authors": authors}
+    shapes = [book([{"name": "Ann Lee"}]), {"response": {"product": book({"name": "Ann Lee"})}}, book("Ann Lee"), [book(["Ann Lee", None])], {"asin": "A", "title": "Tide"}, {"asin": "A"}]
+    rows = [(i, json.dumps(x)) for i, x in enumerate(shapes)] + [(9, "{broken"), (10, None)]
+    raw = spark.createDataFrame(rows, "record_id bigint, payload string")
+    got = {r["record_id"]: (r["asin"], r["title"], r["authors"]) for r in R.N.products(raw).collect()}
+    assert got == {i: ("A", "Tide", ["Ann Lee"]) for i in range(4)} | {4: ("A", "Tide", [])}
+    folder = write(spark, tmp_path / "t", catalog_raw=(rows[1:2], "record_id bigint, payload string"), books=([("A", "Tide", "Ann Lee")], "parsed_asin string, parsed_title string, parsed_author string"))
+    assert [(r["record_id"], r["rank"]) for r in R.QUERIES["topk_candidates"](spark, folder).collect()] == [(1, 1)]
