@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,13 +34,24 @@ def clustered(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(width(df.sparkSession) + 1, *keys)
 
 
+def local(spark: SparkSession) -> bool:
+    """Whether all tasks run in this machine's one process, so that its folders are seen by every task."""
+    return spark.sparkContext.master.partition("[")[0] == "local"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder shared by all executors, from spark.checkpoint.dir; a folder of the session's own where that is unset."""
+    """Folder shared by all executors, from spark.checkpoint.dir. Where that is unset, a folder of the session's own in local mode (removed
+    at exit) and an error on a cluster, whose machines don't share a folder that this process could choose."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
     base = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(base or f"/tmp/shelfwright-{uuid.uuid4().hex}")
+    if not base:
+        if not local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="shelfwright-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    sc.setCheckpointDir(base)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
