@@ -1,14 +1,19 @@
 """Evaluation passages leaking into training documents, by suffix arrays of the documents.
 
-Documents are cut into shards (the batches of a partition). A shard's words are numbered by the vocabulary of the evaluation items
-and its suffix array is built by prefix doubling. The first three words of every suffix of every item are binary-searched in it; the
-array serves these seeds only, no longest verbatim match is taken from it. Around the seeds an exact check aligns item and document word by word: letter slips and single other
-or added words are small changes, other text may stand between whole sentences, but a passage with other names is no leak.
+Documents are cut into shards of bounded size (in words). A shard's words are numbered by the vocabulary of the evaluation items and its
+suffix array is built by prefix doubling. Every suffix of every item is binary-searched in it, which gives the places that agree with it in
+`SEED` words or more; each is followed to its end, so that what comes out is the longest verbatim match there and its location.
 
-Items are a fixed, small set (checked against `MAX_ITEM_WORDS`) that goes to every task; documents are never gathered.
+A match of `RUN` words that holds a name of its item is a leak. The other pairs of a document and an item go on if their longest matches can
+belong to a changed passage: they cover more than one seed, and the document has one of the item's names or a verbatim run. An exact check
+aligns them word by word around the matches: letter slips and single other or added words are small changes, other text may stand between
+whole sentences, but a passage with other names is no leak.
+
+Items are read in blocks of at most `BLOCK_WORDS` words, each of which goes to every task in turn; documents are never gathered. Sentences
+and words that many items share are counted over all items first.
 
 Defined results: null and empty texts have no leaks; items shorter than the least run have none; sentences that many items share
-(lead-ins) don't count; copies of a document are reported each; whole texts are searched, of any length.
+(lead-ins) don't count; copies of a document are reported each; whole texts are searched, of any length; an empty set of items leaks nowhere.
 """
 
 from __future__ import annotations
@@ -28,15 +33,12 @@ from ..util import spread
 
 #: Words in a row that make a leak; words that a verbatim match has at least.
 RUN, SEED = 12, 3
-#: Bound of the broadcast item set; larger sets have to be searched in blocks of items.
-MAX_ITEM_WORDS = 2_000_000
-#: A sentence in more than this share of the items (and in three at least) is a lead-in.
-SHARED = 0.05
+#: Words of the items that are searched for at once (more are searched in several rounds), words of a shard of documents.
+BLOCK_WORDS, SHARD_WORDS = 500_000, 1_000_000
+#: A sentence in more than this share of the items (and in three at least) is a lead-in; a word in more than this share is no name.
+SHARED, COMMON = 0.05, 0.02
 #: Share of a run's words that may be other words.
 OTHER = 0.14
-#: Words of context that the alignment looks at around a match.
-MARGIN = 24
-DEPTHS = (1, 2, 4, 8, 16, 32)
 _WORD = re.compile(r"[^\W_]+(?:['’‑-][^\W_]+)*")
 _MARKS, _INNER = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20ff\ufe20-\ufe2f​‌‍­]"), re.compile("['’‑-]")
 _LAYOUT = re.compile(r"\[\d{1,2}:\d{2}(?::\d{2})?\]")
@@ -56,37 +58,56 @@ def _slips(word: str) -> frozenset[str]:
     return frozenset({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 3 else {word})
 
 
+def _sentences(text: str) -> list[str]:
+    return re.split(r"(?<=[.!?])\s+", text.strip())
+
+
 class Items:
-    """The evaluation set, ready for search: words without lead-ins, sentence ends, rare words, slips."""
+    """A block of the evaluation set, ready for search: words without lead-ins, sentence ends, names, slips.
+
+    leads: sentences (their words joined) that many items share; common: words of many items. By default counted over the block.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        sentences = {i: re.split(r"(?<=[.!?])\s+", t.strip()) for i, t in items if t and t.strip()}
-        often = Counter(s for own in sentences.values() for s in {" ".join(words(x)) for x in own})
-        limit = max(2, SHARED * len(sentences))
+    def __init__(self, items: list[tuple[int, str]], leads: set[str] | None = None, common: set[str] | None = None) -> None:
+        sentences = {i: _sentences(t) for i, t in items if t and t.strip()}
+        if leads is None:
+            often = Counter(s for own in sentences.values() for s in {" ".join(words(x)) for x in own})
+            leads = {s for s, n in often.items() if n > max(2, SHARED * len(sentences))}
         self.ids, self.words, self.ends = [], [], []
         for i, own in sorted(sentences.items()):
             w, ends = [], set()
             for s in own:
-                if (part := words(s)) and often[" ".join(part)] <= limit:
+                if (part := words(s)) and " ".join(part) not in leads:
                     w += part
                     ends.add(len(w))
             if len(w) >= RUN:
                 self.ids.append(i), self.words.append(w), self.ends.append(ends)
         self.number = {w: k for k, w in enumerate(sorted({x for w in self.words for x in w}), 1)}
-        count = Counter(x for w in self.words for x in set(w))
-        self.rare = [np.array([count[x] <= max(2, 0.02 * len(self.ids)) for x in w]) for w in self.words]
+        if common is None:
+            count = Counter(x for w in self.words for x in set(w))
+            common = {w for w, n in count.items() if n > max(2, COMMON * len(self.ids))}
+        self.rare = [np.array([x not in common for x in w]) for w in self.words]
         self.near: list[dict[str, list[int]]] = []
         self.known: list[dict[str, list[int]]] = [{} for _ in self.words]
-        for w in self.words:
+        named = defaultdict(set)  # what slips of a name leave -> (item, letters)
+        for k, w in enumerate(self.words):
             near = defaultdict(list)
-            for k, x in enumerate(w):
+            for j, x in enumerate(w):
                 for s in _slips(x):
-                    near[s].append(k)
+                    near[s].append(j)
+                    if self.rare[k][j]:
+                        named[s].add((k, len(x)))
             self.near.append(dict(near))
+        self.named = dict(named)
         numbers = [np.array([self.number[x] for x in w], np.int64) for w in self.words]
         self.flat = np.concatenate([x for n in numbers for x in (n, [0])]) if numbers else np.zeros(0, np.int64)
         self.owner = np.concatenate([np.full(len(n) + 1, k) for k, n in enumerate(numbers)]) if numbers else np.zeros(0, int)
         self.place = np.concatenate([np.arange(len(n) + 1) for n in numbers]) if numbers else np.zeros(0, int)
+        self.name_at = np.concatenate([x for r in self.rare for x in (r, [False])]) if numbers else np.zeros(0, bool)
+
+    def owners(self, word: str) -> list[int]:
+        """Items that have the word, but for a slip, as a name."""
+        return sorted({k for s in _slips(word) for k, n in self.named.get(s, ()) if abs(n - len(word)) < 2}) if len(word) > 1 else []
 
     def places(self, k: int, word: str) -> list[int]:
         """Where an item has a word, but for a slip (remembered for words that come again)."""
@@ -99,35 +120,56 @@ class Items:
         return known[word]
 
 
-def suffix_ranks(flat: np.ndarray) -> dict[int, np.ndarray]:
-    """Ranks of all suffixes by their first 1, 2, 4 .. words (prefix doubling); argsort of the last is the suffix array."""
-    ranks, r = {1: np.unique(flat, return_inverse=True)[1].astype(np.int64)}, None
-    r = ranks[1]
-    for d in DEPTHS[:-1]:
-        after = np.concatenate([r[d:] + 1, np.zeros(min(d, len(r)), np.int64)])[: len(r)]
-        r = np.unique(r * (len(r) + 2) + after, return_inverse=True)[1].astype(np.int64)
-        ranks[2 * d] = r
-    return ranks
-
-
-def _matches(docs: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(place in docs, place in items) of verbatim matches of SEED words, found by binary search in the shard's suffix array."""
-    both = np.concatenate([docs, [0], items.flat])
-    start = len(docs) + 1
-    ranks = suffix_ranks(both)
-    order = np.argsort(ranks[DEPTHS[-1]][: len(docs)], kind="stable")  # the suffix array
-    # suffixes with SEED equal first words stand together in it: rank them by those words
-    two, one = ranks[2], ranks[1]
-    key = two * (len(both) + 2) + np.concatenate([one[2:], np.full(2, -1)]) + 1
-    ordered = key[order]
-    real = np.flatnonzero((items.flat > 0) & (np.concatenate([items.flat[1:], [0]]) > 0) & (np.concatenate([items.flat[2:], [0, 0]])[: len(items.flat)] > 0))
-    by_key = order[np.argsort(ordered, kind="stable")]
-    ordered = key[by_key]
-    asked = key[start + real]
-    lo, hi = np.searchsorted(ordered, asked, "left"), np.searchsorted(ordered, asked, "right")
+def suffix_array(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The suffixes of `flat` that begin at `starts`, in order of their words (prefix doubling until all differ)."""
+    r, d = np.unique(flat, return_inverse=True)[1].astype(np.int64), 1
+    while d < len(r) and r[starts].size and len(np.unique(r[starts])) < len(starts):
+        after = np.concatenate([r[d:] + 1, np.zeros(d, np.int64)])
+        r, d = np.unique(r * (len(r) + 2) + after, return_inverse=True)[1].astype(np.int64), 2 * d
+    return starts[np.argsort(r[starts], kind="stable")]
+
+
+def _bound(flat: np.ndarray, order: np.ndarray, asked: np.ndarray, upper: bool) -> np.ndarray:
+    """Binary search in a suffix array: first place whose suffix isn't before (upper: is behind) the asked words, a row each."""
+    lo, hi = np.zeros(len(asked), np.int64), np.full(len(asked), len(order), np.int64)
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) // 2
+        at = order[np.minimum(mid, len(order) - 1)]
+        before, equal = np.zeros(len(asked), bool), np.ones(len(asked), bool)
+        for k in range(asked.shape[1]):
+            w = flat[at + k]
+            before |= equal & (w < asked[:, k])
+            equal &= w == asked[:, k]
+        right = (before | equal if upper else before) & open_
+        lo, hi = np.where(right, mid + 1, lo), np.where(open_ & ~right, mid, hi)
+    return lo
+
+
+def longest_matches(docs: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in docs, place in items, words) of all verbatim matches of SEED words or more that can't be made longer on either side.
+
+    docs: numbers of words; what no item has, and ends of documents, have numbers of their own.
+    """
+    vocabulary = len(items.number)
+    flat = np.concatenate([docs, np.full(SEED, -1)])  # a suffix at the end is shorter than what is asked
+    order = suffix_array(docs, np.flatnonzero(docs <= vocabulary))
+    size = len(items.flat) - SEED + 1
+    real = np.flatnonzero(np.all([items.flat[k : k + size] > 0 for k in range(SEED)], axis=0)) if size > 0 else np.zeros(0, int)
+    if not len(order) or not len(real):
+        return (np.zeros(0, np.int64),) * 3
+    asked, number = np.unique(items.flat[real[:, None] + np.arange(SEED)], axis=0, return_inverse=True)
+    lo, hi = _bound(flat, order, asked, False)[number.ravel()], _bound(flat, order, asked, True)[number.ravel()]
     n = hi - lo
-    at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return by_key[at], np.repeat(real, n)
+    p = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    q = np.repeat(real, n)
+    first = (p == 0) | (q == 0) | (docs[p - 1] != items.flat[q - 1])
+    p, q = p[first], q[first]
+    length, open_ = np.full(len(p), SEED), np.arange(len(p))
+    while len(open_):
+        i, j = p[open_] + length[open_], q[open_] + length[open_]
+        open_ = open_[(i < len(docs)) & (docs[np.minimum(i, len(docs) - 1)] == items.flat[j]) & (items.flat[j] > 0)]
+        length[open_] += 1
+    return p, q, length
 
 
 def _resumes(same: np.ndarray, rare: np.ndarray, i: int, j: int, step: int) -> bool:
@@ -209,69 +251,112 @@ def _longest(stretches: list[tuple[int, int, int, int]], ends: set[int]) -> int:
 
 
 def search(ids: list[int], texts: list[str | None], items: Items) -> list[tuple[int, int, int]]:
-    """(doc id, item id, longest run of words) of the documents of one shard."""
+    """(doc id, item id, words of the longest run) of the documents of one shard."""
     found: list[tuple[int, int, int]] = []
     own = [words(t) if t else [] for t in texts]
     sizes = np.array([len(w) + 1 for w in own])
     if not len(own) or not items.ids:
         return found
-    flat = np.zeros(sizes.sum(), np.int64)
     begin = np.cumsum(sizes) - sizes
-    spacer = len(items.number) + 1  # words that no item has, and ends of documents, match nothing
-    for b, w in zip(begin, own):
-        flat[b : b + len(w)] = [items.number.get(x, 0) for x in w]
-    flat[flat == 0] = spacer + np.arange((flat == 0).sum())
-    places, asked = _matches(flat, items)
-    if not len(places):
-        return found
-    doc = np.searchsorted(begin, places, "right") - 1
-    pairs = np.unique(np.stack([doc, items.owner[asked], items.place[asked], places - begin[doc]], 1), axis=0)
-    # documents with one match of an item only have no run of it
-    new = np.any(np.diff(pairs[:, :3], axis=0, prepend=-1) != 0, axis=1)
-    both = pairs[:, 0] * (len(items.ids) + 1) + pairs[:, 1]
-    kinds, number = np.unique(both, return_inverse=True)
-    pairs = pairs[np.bincount(number, new, len(kinds))[number] > 1]
-    if not len(pairs):
+    code, kinds = pd.factorize(np.array([x for w in own for x in (*w, "")], object))
+    flat = np.array([items.number.get(x, 0) for x in kinds], np.int64)[code]
+    flat[flat == 0] = len(items.number) + 1 + np.arange((flat == 0).sum())  # words that no item has match nothing
+    p, q, length = longest_matches(flat, items)
+    if not len(p):
         return found
-    groups = np.flatnonzero(np.any(np.diff(pairs[:, :2], axis=0) != 0, axis=1)) + 1
-    for g in np.split(pairs, groups):
-        d, k = int(g[0, 0]), int(g[0, 1])
-        w, stretches = own[d], []
-        at = np.unique(g[:, 3])
-        windows = [(max(0, part[0] - MARGIN), min(len(w), part[-1] + SEED + MARGIN)) for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * MARGIN) + 1)]
-        seen = [_same(w[lo:hi], k, items) for lo, hi in windows]
-        # a run needs most of its words somewhere in the windows
-        there = np.cumsum(np.concatenate([[0], np.any([x.any(0) for x in seen], axis=0)]))
-        if (there[RUN:] - there[:-RUN]).max() < RUN - int(OTHER * RUN):
-            continue
-        for (lo, _), x in zip(windows, seen):
-            stretches += [(a, b, i + lo, j + lo) for a, b, i, j in _aligned(x, k, items)]
-        n = _longest(stretches, items.ends[k])
+    n_items = len(items.ids)
+    pair = (np.searchsorted(begin, p, "right") - 1) * n_items + items.owner[q]
+    names = np.concatenate([[0], np.cumsum(items.name_at)])
+    sure = (length >= RUN) & (names[q + length] > names[q])
+    best: dict[int, int] = {}
+    for k, n in zip(pair[sure].tolist(), length[sure].tolist()):
+        best[k] = max(best.get(k, 0), n)
+    # of the rest, pairs whose matches cover more than one seed and have a name of the item in the document, or a verbatim run
+    keys, number = np.unique(pair, return_inverse=True)
+    covered = np.bincount(number, length)
+    runs = np.bincount(number, length >= RUN) > 0
+    known = [items.owners(x) for x in kinds]
+    has = np.array([bool(x) for x in known])
+    at = np.flatnonzero(has[code])
+    named = {int(d) * n_items + k for d, c in zip(np.searchsorted(begin, at, "right") - 1, code[at]) for k in known[c]}
+    going = {k for k, c, r in zip(keys.tolist(), covered.tolist(), runs.tolist()) if k not in best and c > SEED and (r or k in named)}
+    some = np.flatnonzero(np.isin(pair, np.fromiter(going, np.int64, len(going))))
+    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for i in some:
+        places[int(pair[i])].append((int(p[i]), int(length[i])))
+    for key, hits in sorted(places.items()):
+        d, k = divmod(key, n_items)
+        n = _checked(own[d], sorted((x - int(begin[d]), x - int(begin[d]) + m) for x, m in hits), k, items)
         if n >= RUN:
-            found.append((ids[d], items.ids[k], n))
-    return found
-
-
-def collect_items(items: DataFrame) -> Items:
-    """The evaluation set on the driver, its size checked."""
-    size = items.select(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"{size} item words; search in blocks of at most {MAX_ITEM_WORDS}")
-    return Items([(r["item_id"], r["text"]) for r in items.select("item_id", "text").where("item_id is not null").collect()])
-
-
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_words (longest run of item words) of every document with a passage of an item."""
-    ready = collect_items(items)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best[key] = n
+    return [(ids[key // n_items], items.ids[key % n_items], int(n)) for key, n in sorted(best.items())]
+
+
+def _checked(doc: list[str], hits: list[tuple[int, int]], k: int, items: Items) -> int:
+    """Most words in a row that a document has of an item, small changes forgiven. hits: (from, to) of longest matches.
+
+    What belongs to a match stands no farther from it than the item is long, so the document is read in windows of that margin.
+    """
+    margin, windows = len(items.words[k]), []
+    for a, b in hits:
+        if windows and a - margin <= windows[-1][1]:
+            windows[-1][1] = max(windows[-1][1], min(len(doc), b + margin))
+        else:
+            windows.append([max(0, a - margin), min(len(doc), b + margin)])
+    seen = [_same(doc[a:b], k, items) for a, b in windows]
+    # a run needs most of its words somewhere in the windows
+    there = np.cumsum(np.concatenate([[0], np.any([x.any(0) for x in seen], axis=0)]))
+    if (there[RUN:] - there[:-RUN]).max() < RUN - int(OTHER * RUN):
+        return 0
+    stretches = [(a, b, i + lo, j + lo) for (lo, _), x in zip(windows, seen) for a, b, i, j in _aligned(x, k, items)]
+    return _longest(stretches, items.ends[k])
+
+
+def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
+    """The evaluation set in blocks of about `block_words` words on the driver. items: item_id, text.
+
+    Lead-ins and words that are no names are counted over all items in Spark; only those of more than a share of all items are collected,
+    which bounds their number by the length of an item.
+    """
+    own = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and trim(text) <> ''").distinct()
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 2000):
-                part = pdf.iloc[i : i + 2000]
-                yield pd.DataFrame(search(list(part["doc_id"]), list(part["text"]), ready), columns=["doc_id", "item_id", "n_words"])
-
+            rows = []
+            for i, t in zip(pdf["item_id"], pdf["text"]):
+                parts = [words(s) for s in _sentences(t)]
+                rows += [(i, True, " ".join(p)) for p in parts if p] + [(i, False, w) for p in parts for w in p]
+            yield pd.DataFrame(rows, columns=["item_id", "whole", "said"])
+
+    size = own.agg(F.countDistinct("item_id").alias("n"), F.sum(F.size(F.split("text", r"\s+"))).alias("words")).first()
+    n = size["n"]
+    many = F.col("n") > F.when(F.col("whole"), max(2, SHARED * n)).otherwise(max(2, COMMON * n))
+    often = own.mapInPandas(told, "item_id bigint, whole boolean, said string").groupBy("whole", "said").agg(F.countDistinct("item_id").alias("n")).where(many).collect() if n else []
+    leads, common = {r["said"] for r in often if r["whole"]}, {r["said"] for r in often if not r["whole"]}
+    count = max(1, -(-(size["words"] or 0) // block_words))
+    for b in range(count):
+        block = own if count == 1 else own.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == b)
+        yield Items([(r["item_id"], r["text"]) for r in block.collect()], leads, common)
+
+
+def leaks(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, item_id, n_words (longest run of item words) of every document with a passage of an item."""
+    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")
-    return spread(docs, "doc_id").mapInPandas(run, "doc_id bigint, item_id bigint, n_words int")
+    docs, out = spread(docs, "doc_id"), None
+    for block in blocks(items, block_words):
+        ready = spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pd.DataFrame], ready=ready) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                shard = (pdf["text"].str.len().cumsum() // (6 * SHARD_WORDS)).to_numpy()  # about six letters a word
+                for s in np.unique(shard):
+                    part = pdf[shard == s]
+                    yield pd.DataFrame(search(list(part["doc_id"]), list(part["text"]), ready.value), columns=["doc_id", "item_id", "n_words"])
+
+        hits = docs.mapInPandas(run, "doc_id bigint, item_id bigint, n_words int")
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -280,5 +365,5 @@ def found(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without those that leak an item."""
+    """The documents without those that leak an item; documents without id are kept."""
     return documents.join(found(documents, items).select("doc_id").distinct(), "doc_id", "left_anti")

@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": lambda s, d: garble.found(table(s, d, "books")),
         "p8_packs": lambda s, d: packing.packs(table(s, d, "documents"), table(s, d, "pack_sizes")),
         "p9_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_clean_documents": lambda s, d: leaks.clean_documents(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "n_chars"),
         "p10_found": lambda s, d: subjects.found(table(s, d, "documents"), table(s, d, "subject_labels"), table(s, d, "eval_items")),
     }
 

@@ -162,27 +162,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, start: np.ndarr
     return w
 
 
-def _parse(text: str | None, passages: leaks.Items | None) -> list[tuple[str, ...]]:
+def _parse(text: str | None, passages: set[str] | None) -> list[tuple[str, ...]]:
     """Term bags of the sentences of a text, those of evaluation passages left out."""
     return [terms(s) for s in sentences(text or "") if not (passages and _of_passage(s, passages))]
 
 
-def _of_passage(sentence: str, items: leaks.Items) -> bool:
-    """Whether a sentence is from an evaluation item: most of its words stand close together in one item."""
+def _of_passage(sentence: str, passages: set[str]) -> bool:
+    """Whether a sentence is from an evaluation item: many of its three-word sequences stand in the items."""
     w = leaks.words(sentence)
     grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)]
-    hits = sum(g in items.grams for g in grams)
+    hits = sum(g in passages for g in grams)
     return bool(grams) and hits >= max(2, 0.3 * len(grams))
 
 
-def _with_grams(items: leaks.Items) -> leaks.Items:
-    items.grams = {" ".join(w[i : i + 3]) for w in items.words for i in range(len(w) - 2)}
-    return items
+def _passages(items: DataFrame) -> set[str]:
+    """Three-word sequences of the evaluation items, lead-ins left out."""
+    return {" ".join(w[i : i + 3]) for block in leaks.blocks(items) for w in block.words for i in range(len(w) - 2)}
 
 
-def fit(documents: DataFrame, labels: DataFrame, items: DataFrame | None = None, bound: int = TRAIN_DOCS) -> tuple[Model, leaks.Items | None]:
+def fit(documents: DataFrame, labels: DataFrame, items: DataFrame | None = None, bound: int = TRAIN_DOCS) -> tuple[Model, set[str] | None]:
     """Train on at most `bound` labelled documents, the first by hash of their id."""
-    passages = _with_grams(leaks.collect_items(items)) if items is not None else None
+    passages = _passages(items) if items is not None else None
     marked = labels.where("subject is not null and trim(subject) <> '' and doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     texts = documents.select("doc_id", "text", "source", "kind", "lang").where("text is not null and text <> ''")
     first = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
@@ -207,7 +207,7 @@ def fit(documents: DataFrame, labels: DataFrame, items: DataFrame | None = None,
     return model, passages
 
 
-def classify(documents: DataFrame, model: Model, passages: leaks.Items | None) -> DataFrame:
+def classify(documents: DataFrame, model: Model, passages: set[str] | None) -> DataFrame:
     """doc_id, subject of every document, one row per subject."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -98,26 +98,50 @@ def test_leaks():
     assert got == {(1, 1), (2, 1), (8, 3)}
 
 
-def test_seeds_against_brute_force():
+def test_longest_matches_against_brute_force():
+    import numpy as np
+
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(6)]
     items = leaks.Items([(i, " ".join(rng.choice(vocab) for _ in range(14)) + f" end{i}.") for i in range(4)])
-    import numpy as np
-
     doc = [items.number.get(w, 999) for w in (rng.choice([*vocab, "zz"]) for _ in range(300))]
     flat = np.array([x if x != 999 else 1000 + k for k, x in enumerate(doc)], np.int64)
-    at, asked = leaks._matches(flat, items)
-    brute = {(i, j) for i in range(len(flat) - 2) for j in range(len(items.flat) - 2) if items.flat[j] and items.flat[j + 1] and items.flat[j + 2] and tuple(flat[i : i + 3]) == tuple(items.flat[j : j + 3])}
-    assert set(zip(at.tolist(), asked.tolist())) == brute
 
+    def longest(i: int, j: int) -> int:
+        n = 0
+        while i + n < len(flat) and j + n < len(items.flat) and items.flat[j + n] and flat[i + n] == items.flat[j + n]:
+            n += 1
+        return n
 
-def test_suffix_ranks_sort_suffixes():
+    whole = {(i, j, longest(i, j)) for i in range(len(flat)) for j in range(len(items.flat)) if longest(i, j) >= leaks.SEED and (not i or not j or flat[i - 1] != items.flat[j - 1])}
+    assert set(zip(*(x.tolist() for x in leaks.longest_matches(flat, items)))) == whole
+
+
+def test_suffix_array_sorts_suffixes():
     import numpy as np
 
     rng = random.Random(5)
     flat = np.array([rng.randint(1, 3) for _ in range(200)])
-    order = np.argsort(leaks.suffix_ranks(flat)[32], kind="stable")
-    assert sorted(range(200), key=lambda i: tuple(flat[i : i + 32])) == order.tolist()
+    starts = np.flatnonzero(flat < 3)
+    assert sorted(starts, key=lambda i: tuple(flat[i:])) == leaks.suffix_array(flat, starts).tolist()
+
+
+def test_leaks_need_the_suffix_array(monkeypatch):
+    import numpy as np
+
+    sort, rng, items = leaks.suffix_array, np.random.default_rng(1), leaks.Items(ITEMS)
+    vocabulary = sorted(items.number)
+    texts = [" ".join(rng.choice(vocabulary, 200)) + " " + DOCS[0][1] for _ in range(50)]
+    assert len(leaks.search(list(range(50)), texts, items)) == 50
+    monkeypatch.setattr(leaks, "suffix_array", lambda flat, starts: rng.permutation(sort(flat, starts)))
+    assert len(leaks.search(list(range(50)), texts, items)) < 15
+
+
+def test_items_in_blocks(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    assert len(list(leaks.blocks(items, 20))) > 2
+    assert {(r["doc_id"], r["item_id"]) for r in leaks.leaks(docs, items, block_words=20).collect()} == {(1, 1), (2, 1), (8, 3)}
 
 
 def test_leaks_found(spark):
