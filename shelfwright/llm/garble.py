@@ -1,14 +1,18 @@
 """Text damaged by a wrong character encoding: find it and restore it.
 
-A multinomial (softmax) classifier over hashed byte bigrams names the encoding chain a value went through, or none. It is trained
-here, on clean values of the same corpus garbled through every chain. A predicted chain is inverted and the result has to decode
-strictly; chains that fail are passed over for the next likely one. Chains that lose characters are checked by their traces.
+A multinomial classifier over hashed byte bigrams names the encoding chain a value went through, or none. It is trained here: values of
+the corpus are garbled through every chain, and the bigrams of the outcomes are counted by chain. Only bigrams with a byte beyond ASCII or a
+question mark are features; the rest are the same before and after. A value's log odds against being clean are summed over its bigrams.
+The likeliest chain is inverted, and the result has to decode strictly and hold no characters that text doesn't have; a chain that fails
+this is passed over for the next likely one. Chains that lose characters need their mark in the value. A restored value is classified
+again until it is clean, so that repeated damage is undone. Where a value is damaged in parts only, the parts that decode are restored.
 
-Training is the only bounded step: at most `TRAIN_VALUES` distinct values of each of three groups of scripts (parameter). Every
-value is classified.
+Training is the only bounded step: at most `TRAIN_VALUES` distinct values with a character beyond ASCII or a question mark, the first by
+hash. Every value is classified.
 
 Defined results: null, empty and pure ASCII values without a question mark are clean; values that can't be restored have a null
-`restored`; very long values are read whole; repeated values have equal results; extra columns are kept apart by the callers.
+`restored`; very long values are read whole; repeated values have equal results; extra columns are kept apart by the callers; without
+values to train on nothing is called damaged.
 """
 
 from __future__ import annotations
@@ -24,45 +28,32 @@ from pyspark.sql import functions as F
 
 from ..util import spread
 
-#: Clean values of each group of scripts that the classifier is trained on, at most.
-TRAIN_VALUES = 500
-DIMS = 2048
+#: Values that the classifier is trained on, at most; cells of the hashed bigrams (a power of two).
+TRAIN_VALUES, CELLS = 20_000, 1 << 14
+#: Share of damaged values expected among those with characters beyond ASCII; odds against being clean that call a value damaged.
+EXPECTED, ODDS = 0.05, 10.0
+#: Part of each chain's bigram distribution that is taken from the average of all.
+SMOOTH = 0.02
 CLEAN, LOST_MARK, LOST_QUESTION = "clean", "lost_to_replacement_mark", "lost_to_question_mark"
 #: Chains of encodings: (name, encoding the text was written in, encoding it was read in, times).
 CHAINS = (
-    ("utf8_as_cp1252", "utf-8", "cp1252", 1),
+    *((f"utf8_as_{c}", "utf-8", c, 1) for c in ("cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "cp866", "koi8_r")),
     ("utf8_as_cp1252_twice", "utf-8", "cp1252", 2),
-    ("utf8_as_latin1", "utf-8", "latin-1", 1),
-    ("utf8_as_mac_roman", "utf-8", "mac_roman", 1),
-    ("utf8_as_cp437", "utf-8", "cp437", 1),
-    ("utf8_as_cp850", "utf-8", "cp850", 1),
-    ("utf8_as_cp1251", "utf-8", "cp1251", 1),
-    ("utf8_as_cp866", "utf-8", "cp866", 1),
     ("cp1252_as_cp850", "cp1252", "cp850", 1),
-    ("cp1251_as_cp1252", "cp1251", "cp1252", 1),
+    *((f"{a}_as_{b}", a, b, 1) for a, b in (("cp1251", "cp1252"), ("koi8_r", "cp1252"), ("koi8_r", "cp1251"), ("shift_jis", "cp1252"), ("gb18030", "cp1252"), ("euc_kr", "cp1252"))),
 )
-#: What a strict check that few clean values pass by chance adds to a label's score (log odds).
-EVIDENCE = {c[0]: 8.0 for c in CHAINS if c[1] == "utf-8"} | {LOST_MARK: 20.0, LOST_QUESTION: 12.0, "sign": 6.0}
-#: Chains between one-byte encodings: every value decodes, so the result has to score as clean, and the value less so.
-BYTE_FOR_BYTE = {c[0] for c in CHAINS if c[1] != "utf-8"}
-#: By how much (log probability of clean) a byte-for-byte inversion has to improve a value.
-MARGIN = 0.5
-#: Labels after which a value can still be damaged once more.
-REPEATED = {1 + i for i, c in enumerate(CHAINS) if c[2] in ("cp1252", "latin-1") and c[1] == "utf-8"}
 LABELS = (CLEAN, *(c[0] for c in CHAINS), LOST_MARK, LOST_QUESTION)
+#: cp1252 leaves five bytes open; they are read as control characters.
+_OPEN = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(256)}
+_OPEN_BACK = {ord(c): b for b, c in _OPEN.items()}
 
 
 def _read_as(raw: bytes, enc: str) -> str:
-    """Bytes as text; the five bytes that cp1252 leaves open are control characters, as browsers read them."""
-    if enc == "cp1252":
-        return "".join(bytes([b]).decode(enc, "ignore") or chr(b) for b in raw)
-    return raw.decode(enc)
+    return raw.decode("latin_1").translate(_OPEN) if enc == "cp1252" else raw.decode(enc)
 
 
 def _bytes_of(text: str, enc: str) -> bytes:
-    if enc == "cp1252":
-        return b"".join(bytes([ord(c)]) if 0x7F < ord(c) < 0xA0 else c.encode(enc) for c in text)
-    return text.encode(enc)
+    return text.translate(_OPEN_BACK).encode("latin_1") if enc == "cp1252" and not set(map(ord, text)) - set(_OPEN_BACK) else text.encode(enc)
 
 
 def damage(text: str, chain: tuple) -> str:
@@ -82,17 +73,20 @@ def invert(text: str, chain: tuple) -> str | None:
     return text
 
 
-def _features(values: list[str]) -> np.ndarray:
-    x = np.zeros((len(values), DIMS), np.float32)
-    for i, v in enumerate(values):
-        raw = np.frombuffer(b"\x02" + v.encode("utf-8", "surrogatepass") + b"\x03", np.uint8).astype(np.uint32)
-        pairs = raw[:-1] * 256 + raw[1:]
-        # bigrams with a byte above 127 or a question mark carry the signal; plain ASCII ones are folded into fewer cells
-        cell = (pairs * np.uint32(2654435761)) >> np.uint32(20)
-        np.add.at(x[i], cell % DIMS, 1)
-        x[i] = np.sqrt(x[i])
-        x[i] /= max(1.0, np.linalg.norm(x[i]))
-    return x
+def invert_parts(text: str, chain: tuple) -> str | None:
+    """The text with those runs of characters beyond ASCII inverted that decode strictly; None if there are none."""
+    if chain[1] != "utf-8" or text.isascii():
+        return None
+    done = re.sub(r"[^\x00-\x7f]+", lambda m: invert(m[0], chain) or m[0], text)
+    return done if done != text else None
+
+
+def cells(text: str) -> np.ndarray:
+    """Hashed byte bigrams of a text (framed by control bytes) that have a byte beyond ASCII or a question mark."""
+    raw = np.frombuffer(b"\x02" + text.encode("utf-8", "surrogatepass") + b"\x03", np.uint8).astype(np.uint32)
+    a, b = raw[:-1], raw[1:]
+    told = (a * 256 + b)[(a > 127) | (b > 127) | (a == 63) | (b == 63)]
+    return ((told * np.uint32(2654435761)) >> np.uint32(33 - CELLS.bit_length())).astype(np.int64)
 
 
 def _doubtful(v: str) -> bool:
@@ -102,117 +96,70 @@ def _doubtful(v: str) -> bool:
     return not v.isascii() and any(c[1] == "utf-8" and invert(v, c) is not None for c in CHAINS)
 
 
-def train(clean: list[str], rounds: int = 200, rate: float = 20.0) -> np.ndarray:
-    """Softmax weights (DIMS + 1, labels) from clean values, garbled through every chain that changes them."""
-    texts, y = [], []
-    for v in sorted(set(clean)):
-        texts.append(v), y.append(0)
-        if v.isascii():
-            continue
-        for k, c in enumerate(CHAINS, 1):
-            try:
-                if (bad := damage(v, c)) != v and "�" not in bad and (c[1] != "cp1251" or re.search("[а-я]{2}", v)):
-                    texts.append(bad), y.append(k)
-            except UnicodeError:
-                pass
-        for k, enc in ((len(LABELS) - 2, "�"), (len(LABELS) - 1, "?")):
-            texts.append("".join(c if c.isascii() else enc for c in v)), y.append(k)
-    w = np.zeros((DIMS + 1, len(LABELS)), np.float32)
-    if not texts:
-        return w
-    labels, pull = np.array(y), np.zeros_like(w)
-    share = 1 / np.maximum(np.bincount(labels, minlength=len(LABELS)), 1)
-    weight = share[labels].astype(np.float32)
-    weight /= weight.sum()
-    x = _features(texts)
-    for _ in range(rounds):
-        z = x @ w[:-1] + w[-1]
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(labels)), labels] -= 1
-        p *= weight[:, None]
-        pull = 0.9 * pull + np.vstack([x.T @ p, p.sum(0)]) + 1e-6 * w
-        w -= rate * pull
-    return w
-
-
-def _scores(values: list[str], w: np.ndarray) -> np.ndarray:
-    return _features(values) @ w[:-1] + w[-1]
-
-
-def _sign_in_word(v: str) -> bool:
-    """A sign beyond ASCII (box, fraction, degree ...) beside a letter: what letters turn into."""
-    return any(not c.isascii() and unicodedata.category(c) in ("No", "So", "Sm", "Sc", "Sk") and (v[i - 1 : i].isalpha() or v[i + 1 : i + 2].isalpha()) for i, c in enumerate(v))
-
-
-def _evidence(v: str, label: str) -> float:
-    """What strict checks say for a label, in log odds."""
-    if label == LOST_QUESTION:  # a question mark right before a letter; at the end of a word only the classifier tells
-        return EVIDENCE[label] if re.search(r"\?[^\W\d_]", v) else 0.0
-    if label in BYTE_FOR_BYTE:
-        return EVIDENCE["sign"] if _sign_in_word(v) else 0.0
-    return EVIDENCE.get(label, 0.0)
-
-
-def _cleaner(before: str, v: str, w: np.ndarray) -> bool:
-    """Whether the restored value is likelier to be clean than the value, both with composed accents."""
-    s = _scores([unicodedata.normalize("NFC", before), unicodedata.normalize("NFC", v)], w)
-    s -= np.log(np.exp(s - s.max(1, keepdims=True)).sum(1, keepdims=True)) + s.max(1, keepdims=True)
-    return s[0, 0] - s[1, 0] > MARGIN
-
-
-def _admitted(v: str, label: str) -> tuple[bool, str | None]:
+def _garbled(v: str, chain: tuple) -> str | None:
+    """A clean value after a chain, None where the chain doesn't change it or can't carry it. Chains from encodings of other scripts take
+    values with two neighbouring letters of it: a single one is a borrowed look-alike rather than that script."""
+    if chain[1] not in ("utf-8", "cp1252") and not re.search(r"[^\W\d_a-zA-ZÀ-ɏ]{2}", v):
+        return None
+    try:
+        bad = damage(v, chain)
+    except UnicodeError:
+        return None
+    return bad if bad != v and "�" not in bad else None
+
+
+def train(values: list[str]) -> np.ndarray:
+    """Log likelihoods (CELLS, labels) of bigrams from values, the doubtful left out and the rest garbled through every chain."""
+    clean = sorted(v for v in set(values) if not _doubtful(v))
+    wide = [v for v in clean if not v.isascii()]
+    lost = lambda mark: ["".join(c if c.isascii() else mark for c in v) for v in wide]
+    n = np.zeros((CELLS, len(LABELS)))
+    for k, texts in enumerate([clean, *([g for v in wide if (g := _garbled(v, c))] for c in CHAINS), lost("�"), lost("?")]):
+        if texts:  # the bigram of two frames is plain ASCII
+            n[:, k] = np.bincount(cells("\x03\x02".join(texts)), minlength=CELLS)
+    total = n.sum(0)
+    usual = (n / np.maximum(total, 1)).sum(1) + 1e-3
+    w = np.log((1 - SMOOTH) * n / np.maximum(total, 1) + SMOOTH * (usual / usual.sum())[:, None])
+    w[:, total == 0] = -1e3 if total[0] else 0.0  # chains that nothing could be trained for
+    return w.astype(np.float32)
+
+
+PRIOR = np.log(np.array([1 - EXPECTED] + [EXPECTED / (len(LABELS) - 1)] * (len(LABELS) - 1)))
+
+
+def _verified(v: str, label: str) -> tuple[bool, str | None]:
     """Whether a label is possible for a value, and what its inversion gives."""
-    if label == CLEAN:
-        return True, v
     if label == LOST_MARK:
         return "�" in v, None
     if label == LOST_QUESTION:
-        # inside or before a word, or where a word ends in the middle of the value
-        return bool(re.search(r"\?\w|(^|\s)\?", v)) or bool(re.search(r"\w\?\s+\w", v)), None
-    if v.isascii():
-        return False, None
+        return "?" in v, None
     chain = CHAINS[LABELS.index(label) - 1]
     before = invert(v, chain)
+    if before is None:
+        before = invert_parts(v, chain)
     ok = before is not None and before != v and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in before)
-    if ok and chain[1] == "utf-8":  # look-alike letters can decode by chance, to signs that text doesn't have
-        ok = before.isascii() or all(c.isascii() or unicodedata.category(c)[0] in "LMP" or c in "\xa0\u200c\u200d€" or LABELS.index(label) in REPEATED for c in before)
-    if ok and chain[1] == "cp1251":  # any bytes decode: the result has to be words of one script
-        ok = bool(re.fullmatch(r"[\W\dа-яёА-ЯЁ]+", before)) and bool(re.search("[а-яё]{2}", before))
-    if ok and chain[0] == "cp1252_as_cp850":
-        inner = re.search(r"[^\W\d_][^\w\s'’.,\-–:;()!?/&\"»]|[^\W\d_][–:;(/&\"][^\W\d_]", before)
-        caps = v == v.upper() and all(c.isascii() or c.isalpha() for c in v)  # capitals turn into capitals: nothing tells them apart
-        lowered = v.strip()[:1].isupper() and before.strip()[:1].islower()
-        ok = not inner and not caps and not lowered and "\xad" not in v and not any(a.islower() and b.isupper() for a, b in zip(before, before[1:])) and bool(re.search(r"[À-ÿŠŽšžŒœ’–—]", before))
     return ok, before
 
 
-def classify(values: list[str], w: np.ndarray, depth: int = 3) -> list[tuple[str, str | None]]:
+def classify(values: list[str], w: np.ndarray) -> list[tuple[str, str | None]]:
     """(label, restored) of each value; restored is the value itself where it is clean, None where characters are lost."""
     out: list[tuple[str, str | None]] = []
-    for i in range(0, len(values), 512):
-        part = values[i : i + 512]
-        for v, s in zip(part, _scores(part, w)):
-            best = (CLEAN, v)
-            possible = {}
-            for k, label in enumerate(LABELS):
-                ok, before = _admitted(v, label)
-                if ok:
-                    possible[k] = before
-                    s[k] += _evidence(v, label)
-            for k in np.argsort(-s, kind="stable"):
-                if k in possible:
-                    before = possible[k]
-                    if LABELS[k] in BYTE_FOR_BYTE and not _sign_in_word(v) and not _cleaner(before, v, w):
-                        continue
-                    best = (LABELS[k], before)
-                    break
-            out.append(best)
-    again = [i for i, (label, t) in enumerate(out) if label != CLEAN and t is not None and not t.isascii()]
-    if depth > 1 and again:  # damaged more than once
-        for i, (label, t) in zip(again, classify([out[i][1] for i in again], w, depth - 1)):
-            if label != CLEAN and t is not None:
-                out[i] = (out[i][0], t)
+    for v in values:
+        at = cells(v)
+        score = PRIOR + w[at].sum(0)
+        best: tuple[str, str | None] = (CLEAN, v)
+        for k in np.argsort(-score, kind="stable") if len(at) else ():
+            if score[k] < score[0] + np.log(ODDS):
+                break
+            ok, before = _verified(v, LABELS[k])
+            if ok:
+                best = (LABELS[k], before)
+                break
+        if best[0] != CLEAN and best[1] is not None and not best[1].isascii():  # damaged more than once; every turn shortens it
+            after = classify([best[1]], w)[0] if len(best[1]) < len(v) else (CLEAN, None)
+            if after[0] != CLEAN and after[1] is not None:
+                best = (best[0], after[1])
+        out.append(best)
     return out
 
 
@@ -222,23 +169,18 @@ def suspect(value: Column) -> Column:
 
 
 def fit(values: DataFrame, bound: int = TRAIN_VALUES) -> np.ndarray:
-    """Train on a bounded sample of the distinct values in column `value`: the first `bound` by hash of each group of scripts."""
-    v = values.select("value").where("value is not null").distinct()
-    group = F.when(~F.col("value").rlike(r"[^\x00-\x7F]"), "ascii").when(F.col("value").rlike(r"[\x{0400}-\x{04FF}\x{0600}-\x{06FF}\x{3040}-\x{9FFF}]"), "other").otherwise("latin")
-    first = v.withColumn("g", group).withColumn("h", F.xxhash64("value"))
-    clean = []
-    for g in ("ascii", "latin", "other"):
-        rows = first.where(F.col("g") == g).orderBy("h", "value").limit(2 * bound).collect()
-        clean += [r["value"] for r in rows if not _doubtful(r["value"])][:bound]
-    return train(clean)
+    """Train on a bounded sample of the distinct values in column `value`: the first `bound` by hash of those that can be damaged."""
+    first = values.select("value").where(suspect(F.col("value"))).distinct().orderBy(F.xxhash64("value"), "value").limit(bound)
+    return train([r["value"] for r in first.collect()])
 
 
 def labelled(values: DataFrame, w: np.ndarray) -> DataFrame:
     """value, label, restored of every distinct suspect value in column `value`; values that aren't there are clean."""
+    weights = values.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = classify(list(pdf["value"]), w)
+            got = classify(list(pdf["value"]), weights.value)
             yield pd.DataFrame({"value": pdf["value"], "label": [a for a, _ in got], "restored": [b for _, b in got]})
 
     return spread(values.select("value").where(suspect(F.col("value"))).distinct(), "value").mapInPandas(run, "value string, label string, restored string")
@@ -246,11 +188,8 @@ def labelled(values: DataFrame, w: np.ndarray) -> DataFrame:
 
 def book_values(books: DataFrame, fields: tuple[str, ...] = ("parsed_title", "parsed_author")) -> DataFrame:
     """book_hash, field, value of the given fields, one row per distinct book, field and value."""
-    both = [books.select("book_hash", F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]
-    rows = both[0]
-    for b in both[1:]:
-        rows = rows.unionByName(b)
-    return rows.where("value is not null and book_hash is not null")
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])  # one read for all fields
+    return books.select("book_hash", F.inline(each)).where("value is not null and book_hash is not null")
 
 
 def found(books: DataFrame, restored: bool = False) -> DataFrame:

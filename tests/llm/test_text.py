@@ -50,6 +50,22 @@ def test_classifier_on_held_out_values():
     assert garble.classify(["", "x" * 100_000], w) == [(garble.CLEAN, ""), (garble.CLEAN, "x" * 100_000)]
 
 
+def test_weights_decide():
+    """Without what the classifier has learned, nothing is damaged."""
+    w = garble.train(corpus())
+    bad = [garble.damage(v, garble.CHAINS[0]) for v in ("Nights at the Café Luna", "Größe aus Köln – Garten")]
+    assert [label == garble.CLEAN for label, _ in garble.classify(bad, w)] == [False, False]
+    assert all(label == garble.CLEAN for label, _ in garble.classify([*bad, "Gr��e", "H?l?ne"], w * 0))
+
+
+def test_damage_in_parts():
+    w = garble.train(corpus())
+    bad = garble.damage("été sørlig", garble.CHAINS[0])
+    assert garble.classify([f"{bad} à Nice"], w)[0][1] == "été sørlig à Nice"
+    thrice = garble.damage(garble.damage(garble.damage("über Größe", garble.CHAINS[0]), garble.CHAINS[0]), garble.CHAINS[0])
+    assert garble.classify([thrice], w)[0][1] == "über Größe"
+
+
 def test_garble_found(spark):
     rows = corpus()
     bad = garble.damage("Nights at the Café Luna", garble.CHAINS[0])
@@ -64,6 +80,7 @@ def test_consistent_form():
         "Ｔｈｅ Ｃｙｃｌｅ， ２": "The Cycle, 2", "Café": "Café", "a b c": "a b c", "Si​gn­al﻿": "Signal", "Giхрertok": "Gixpertok", "Тhe Εnd": "The End", "𝐁𝐨𝐨𝐤 𝗼𝗳": "Book of",
         "Myﬆeries": "Mysteries", "Д‌орога": "Дорога", "фoнарь": "фонарь", "کتاب‌های": "کتاب‌های", "冬の灯台": "冬の灯台", "It’s – “fine”…": "It’s – “fine”…", "": "", None: None, "plain": "plain", "в лесу о": "в лесу о",
         "Дорога в Linz": "Дорога в Linz", "/srv/Аnn/冬の森": "/srv/Ann/冬の森", "tab\there": "tab here",
+        "ꓔhe End": "The End", "Ꮇoon and Ꮪtar": "Moon and Star", "ⲞⲤEAN": "OCEAN", "ꓐꓮꓡꓳ": "ꓐꓮꓡꓳ",
     }.items():
         assert script.consistent(v) == want, v
         assert script.consistent(want) == want
