@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..util import spread
+from ..util import cut, spread
 from . import garble
 
 # Letters that look like a Latin letter (Unicode's confusables, base letters only).
@@ -30,8 +30,11 @@ CYRILLIC = dict(zip("асдеһіјӏорѕԛԝхуѵАВСЕНІЈКМОРЅТ
 CYRILLIC.pop("д", None)
 GREEK = dict(zip("αινορυγκχΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "aivopuykxABEZHIKMNOPTYXcj"))
 ARMENIAN = dict(zip("օսհոցՕՍԼ", "ouhngOUL"))
+CHEROKEE = dict(zip("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏏᏙᏚᏞᏟᏢᏦᏧ", "DRTiAJEWMHGZbVSLCPKd"))
+COPTIC = dict(zip("ⲞⲟⲢⲣⲤⲥⲬⲔⲘⲚⲎ", "OoPpCcXKMNH"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
 OTHER_LATIN = dict(zip("ıɑɡʏ", "iagy"))
-LOOKS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN}
+LOOKS = {"Cyrillic": CYRILLIC, "Greek": GREEK, "Armenian": ARMENIAN, "Cherokee": CHEROKEE, "Coptic": COPTIC, "Lisu": LISU}
 #: Scripts whose writing needs joiners between letters.
 JOINING = ("ARABIC", "SYRIAC", "DEVANAGARI", "BENGALI", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM", "SINHALA", "GUJARATI", "GURMUKHI", "ORIYA", "KHMER", "MYANMAR", "MONGOLIAN", "MANDAIC")
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ￹-￻\U000e0000-\U000e0fff]")
@@ -155,7 +158,7 @@ def found(books: DataFrame, forms: bool = False) -> DataFrame:
     Values of parsed_title that the encoding operator finds damaged are left out.
     """
     rows = garble.book_values(books, ("parsed_title", "parsed_series", "source_path"))
-    odd = labelled(rows)
+    odd = cut(labelled(rows))  # read twice
     titles = odd.join(garble.book_values(books, ("parsed_title",)).select("value").distinct(), "value", "left_semi")
     damaged = garble.labelled(titles, garble.fit(garble.book_values(books))).where(F.col("label") != garble.CLEAN).select("value", F.lit("parsed_title").alias("field"))
     cols = ["book_hash", "field", *(["value", "consistent"] if forms else [])]
