@@ -49,6 +49,24 @@ def test_canon_among_many_of_one_surname():
     assert canon.Reference([*others, (2, "Benedikta Wendwick"), (3, "Bas Wendwick")]).meant("B. Wendwick") == 0
 
 
+def test_cosine_decides(monkeypatch):
+    """With the same cosine for every entry none leads, and without the margin another entry than the meant one wins."""
+    import numpy as np
+
+    r = canon.Reference(REF)
+    monkeypatch.setattr(canon.Reference, "scores", lambda self, words: np.full(len(self.rows), 0.9))
+    assert [r.meant(v) for v in ("Edward Wendwick", "D.Švanimbek", "Alex Mossyard")] == [0, 0, 0]
+
+
+def test_canon_in_blocks(spark):
+    ref = spark.createDataFrame(REF, "author_id bigint, name string")
+    values = spark.createDataFrame([("Wendwick, Ted", None), ("A. Mossyard", None), ("Petra Junipergast", None), ("Nobody Real", None)], "value string, restored string")
+    assert len(list(canon.references(ref, 2))) == 3
+    for block in (2, 100):
+        assert {r["value"]: r["author_id"] for r in canon.mapped(values, ref, block).collect()} == {"Wendwick, Ted": 1, "A. Mossyard": 0, "Petra Junipergast": 4, "Nobody Real": 0}
+    assert {r["author_id"] for r in canon.mapped(values, ref.where("false")).collect()} == {0}
+
+
 def test_canon_found(spark):
     b = spark.createDataFrame([("h", "Ted Wendwick", "t", 1), ("h", "Ted Wendwick", "t", 2), ("i", None, "t", 1), ("j", " ", "t", 1), ("k", "Nobody Real", "t", 1)], "book_hash string, parsed_author string, parsed_title string, author_id int")
     e = spark.createDataFrame([(7, "wendwick, edward")], "entry_id bigint, norm_author string")
