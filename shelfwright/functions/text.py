@@ -230,9 +230,10 @@ def position_text(col: Column) -> Column:
 
 
 def natural_key(col: Column) -> Column:
-    """Sort key of a file name: digit runs as numbers (zero-padded), the rest in lower case."""
-    parts = F.regexp_extract_all(F.lower(col), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p)), "")
+    """Sort key of a name: its digit runs as numbers of any length (by their number of digits, then the digits), the rest in lower case."""
+    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
+    parts = F.regexp_extract_all(F.lower(col), F.lit("([0-9]+|[^0-9]+)"), 1)
+    return F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p))
 
 
 def hms(seconds: Column) -> Column:

@@ -15,6 +15,8 @@ from ..functions import domains as D
 from ..functions import paths as P
 from ..functions import similarity as S
 from ..functions import text as T
+from ..util import cut
+from . import fuzzy
 
 
 def book_entries(files: DataFrame, *keep: str, path: str = "path") -> DataFrame:
@@ -50,18 +52,43 @@ def first_of_key(df: DataFrame, key: list[str], order: list[Column], blank: Colu
     return one if blank is None else one.unionByName(df.where(blank))
 
 
+def library_books(entries: DataFrame) -> DataFrame:
+    """Books of the libraries (column library): parts collapsed. Written once, as later steps read them several times."""
+    return cut(collapse_parts(book_entries(entries, "library"), "library"))
+
+
 def library_diff(entries: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
     """status (matched or missing), author, title, norm_title, path of the source's books against the target, by equal normal title.
 
-    entries: library, path. Books are collapsed and the source's repeats dropped first. The join is on the title key.
+    entries: library, path. Books are collapsed and the source's repeats of a title dropped first (those with a blank title are kept, and
+    are missing). The join is on the title key.
     """
-    books = collapse_parts(book_entries(entries, "library"), "library")
-    own = first_of_key(books.where(F.col("library") == source), ["norm_author", "norm_title"], [F.col("from_group"), P.order_key(F.col("path"))], F.col("norm_title") == "")
+    return _exact(library_books(entries), source, target)
+
+
+def _exact(books: DataFrame, source: str, target: str) -> DataFrame:
+    own = first_of_key(books.where(F.col("library") == source), ["norm_title"], [F.col("from_group"), P.order_key(F.col("path"))], F.col("norm_title") == "")
     titles = books.where((F.col("library") == target) & (F.col("norm_title") != "")).select("norm_title").distinct()
-    # one left join instead of a semi and an anti join: the books are made once
     return own.join(titles.withColumn("hit", F.lit(True)), "norm_title", "left").select(F.when(F.col("hit"), "matched").otherwise("missing").alias("status"), "author", "title", "norm_title", "path")
 
 
+def library_diff_cascade(entries: DataFrame, asked: Column | None = None, source: str = "source", target: str = "target") -> DataFrame:
+    """As `library_diff`, with `how`: exact, fuzzy or null. What has no equal title in the target is searched for by likeness.
+
+    The fuzzy search compares its titles with all titles of the target, which has no key; `asked` (a condition on path) tells which books
+    it is done for, all by default. Books that it isn't done for are left out.
+    """
+    books = library_books(entries)
+    exact = _exact(books, source, target)
+    exact = cut(exact if asked is None else exact.where(asked))
+    left = exact.where("status = 'missing'")
+    titles = books.where((F.col("library") == target) & (F.col("norm_title") != "")).select(F.col("norm_title").alias("text"))
+    near = fuzzy.links(left.select(F.col("norm_title").alias("text")), titles, "token_set", same=True).where("n_links > 0").select(F.col("text").alias("norm_title"), F.lit(True).alias("near"))
+    rows = exact.join(near, "norm_title", "left")
+    how = F.when(F.col("status") == "matched", "exact").when(F.col("near"), "fuzzy")
+    return rows.select(F.when(how.isNull(), "missing").otherwise("matched").alias("status"), how.alias("how"), "author", "title", "norm_title", "path")
+
+
 def duplicate_titles(files: DataFrame, path: str = "path") -> DataFrame:
     """norm_title, n, first_path of titles that several files have."""
     rows = files.select(F.col(path).alias("path"), T.dedup_title(P.stem_of(F.col(path))).alias("norm_title")).where("norm_title <> ''")
@@ -87,6 +114,20 @@ def titles_by_author(books: DataFrame, author: str = "author", title: str = "tit
     return rows.groupBy("author", "norm_title").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def book_folders(files: DataFrame, path: str = "path") -> DataFrame:
+    """folder, files: folders that hold files directly, below a folder of an author (files right in an author's folder are no book)."""
+    rows = files.where(F.size(P.parts(F.col(path))) >= 3).select(P.parent_of(F.col(path)).alias("folder"))
+    return rows.groupBy("folder").agg(F.count("*").alias("files"))
+
+
+def verify_counts(files: DataFrame, path: str = "path") -> DataFrame:
+    """what, n: authors, book folders and files of a library, and surnames that several of its authors share."""
+    p = F.col(path)
+    authors = files.where(F.size(P.parts(p)) >= 2).select(F.element_at(P.parts(p), 1).alias("author"))
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    return count(authors.distinct(), "authors").unionByName(count(book_folders(files, path), "folders")).unionByName(count(files, "files")).unionByName(count(author_variations(authors), "author variations"))
+
+
 def common_root(files: DataFrame, path: str = "path") -> DataFrame:
     """root: the longest path prefix that all paths share; that of the least and the greatest path in component order."""
     ends = files.agg(F.min(P.order_key(F.col(path))).alias("a"), F.max(P.order_key(F.col(path))).alias("b"))
@@ -148,16 +189,15 @@ def severity_summary(findings: DataFrame, fixable: Column | None = None) -> Data
     return findings.agg(F.count("*").alias("total"), *(F.count_if(s == x).alias(x) for x in ("critical", "warning", "info")), *extra)
 
 
-def folder_reuse(wanted: DataFrame, folders: DataFrame) -> DataFrame:
-    """parent, desired, result: the folder to use below a parent: itself, else one that compares equal, else a near one, else itself.
+def near_folders(wanted: DataFrame, folders: DataFrame) -> DataFrame:
+    """parent, desired, actual of every two folder names below one parent that compare equal or near. wanted: parent, desired; folders: parent, actual.
 
-    wanted: parent, desired; folders: parent, actual. Compared within a parent only; ties go to the lowest name.
+    Near names have equal sets of words but for stop words, or, with many words, all but one (or, with very many, some) in common; so they
+    share a key of words, and no other names are compared.
     """
     w = wanted.select("parent", "desired").distinct().withColumn("dn", T.compare_folder(F.col("desired")))
     f = folders.select("parent", "actual").distinct().withColumn("an", T.compare_folder(F.col("actual")))
-    exact = w.join(f.select("parent", F.col("actual").alias("desired")), ["parent", "desired"], "left_semi").select("parent", "desired", F.col("desired").alias("actual"), F.lit(0).alias("rank"))
-    equal = w.join(f.withColumnRenamed("an", "dn"), ["parent", "dn"]).select("parent", "desired", "actual", F.lit(1).alias("rank"))
-    # Near names have equal sets of words but for stop words, or, with many words, all but one (or, with very many, some) in common
+
     def words_keys(name: str) -> Column:
         all_ = F.array_sort(S.tokens(F.col(name)))
         told = F.concat(F.lit("n:"), F.array_join(F.array_except(all_, F.array(*map(F.lit, D.STOP_WORDS))), " "))
@@ -169,7 +209,19 @@ def folder_reuse(wanted: DataFrame, folders: DataFrame) -> DataFrame:
         return F.explode(F.array_distinct(F.concat(F.array(told), F.when(n >= 6, F.concat(whole, but_one)).otherwise(none), F.when(n >= 11, each).otherwise(none)))).alias("word")
 
     share = w.select("parent", "desired", "dn", words_keys("dn")).join(f.select("parent", "actual", "an", words_keys("an")), ["parent", "word"]).select("parent", "desired", "dn", "actual", "an").distinct()
-    near = share.where(S.near_match(F.col("dn"), F.col("an"))).select("parent", "desired", "actual", F.lit(2).alias("rank"))
+    return share.where(S.near_match(F.col("dn"), F.col("an"))).select("parent", "desired", "actual")
+
+
+def folder_reuse(wanted: DataFrame, folders: DataFrame) -> DataFrame:
+    """parent, desired, result: the folder to use below a parent: itself, else one that compares equal, else a near one, else itself.
+
+    wanted: parent, desired; folders: parent, actual. Compared within a parent only; ties go to the lowest name.
+    """
+    w = wanted.select("parent", "desired").distinct().withColumn("dn", T.compare_folder(F.col("desired")))
+    f = folders.select("parent", "actual").distinct().withColumn("an", T.compare_folder(F.col("actual")))
+    exact = w.join(f.select("parent", F.col("actual").alias("desired")), ["parent", "desired"], "left_semi").select("parent", "desired", F.col("desired").alias("actual"), F.lit(0).alias("rank"))
+    equal = w.join(f.withColumnRenamed("an", "dn"), ["parent", "dn"]).select("parent", "desired", "actual", F.lit(1).alias("rank"))
+    near = near_folders(wanted, folders).withColumn("rank", F.lit(2))
     best = exact.unionByName(equal).unionByName(near).groupBy("parent", "desired").agg(F.min_by("actual", F.struct("rank", "actual")).alias("actual"))
     return w.join(best, ["parent", "desired"], "left").select("parent", "desired", F.coalesce("actual", "desired").alias("result"))
 

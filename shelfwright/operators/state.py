@@ -63,9 +63,10 @@ def retry_state(failures: DataFrame, most: int = D.MAX_RETRIES) -> DataFrame:
 
 
 def stable_folders(files: DataFrame, now: Column, quiet: int = D.STABLE_SECONDS) -> DataFrame:
-    """parent, newest: folders whose newest file is at least `quiet` seconds old. files: parent, mtime."""
-    out = files.groupBy("parent").agg(F.max("mtime").alias("newest")).where(F.col("newest").isNotNull())
-    return out.where(F.unix_timestamp(now) - F.unix_timestamp("newest") >= quiet)
+    """parent, newest: folders whose newest file is at least `quiet` seconds old. files: parent, mtime; now: a time, the same for all rows."""
+    old = lambda t: F.unix_timestamp(t.cast("timestamp"))
+    out = files.groupBy("parent").agg(F.max("mtime").alias("newest"), F.max(now).alias("_now")).where(F.col("newest").isNotNull())
+    return out.where(old(F.col("_now")) - old(F.col("newest")) >= quiet).select("parent", "newest")
 
 
 def queue_paths(triggers: DataFrame) -> DataFrame:

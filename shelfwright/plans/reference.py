@@ -18,6 +18,7 @@ from ..operators import fuzzy as Z
 from ..operators import library as L
 from ..operators import nested as N
 from ..operators import state as St
+from ..sources import scan, sinks
 from ..util import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,13 +91,8 @@ def guess_author(s, d):
 
 @query(f"select entry_id, row_number() over (order by {PARTS}, entry_id) as rank from library_entries")
 def path_order(s, d):
-    # a global rank, by range partitions: sorted once, then numbered with the sizes of the partitions before
-    rows = table(s, d, "library_entries").select("entry_id", P.order_key(c("path")).alias("k")).orderBy("k", "entry_id").select("entry_id", F.monotonically_increasing_id().alias("m"))
-    part = F.shiftright("m", 33)
-    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
-    # a row for each partition
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.withColumn("part", part).join(F.broadcast(before), "part").select("entry_id", (c("before") + c("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
+    rows = table(s, d, "library_entries").select("entry_id", P.order_key(c("path")).alias("k"))
+    return sinks.numbered(rows, "k", "entry_id").select("entry_id", "rank")
 
 
 @query("""select book_hash, source_path as path, regexp_matches(source_path, '/[_.]') or regexp_matches(source_path, '^[_.]') as hidden from books group by all""")
@@ -157,14 +153,14 @@ def looks_like_author(s, d):
     return table(s, d, "library_entries").select("author").distinct().select("author", T.looks_like_author(c("author")).alias("looks"))
 
 
-@query(f"select distinct source_path, {sql_chain('source_path', T.SANITIZE)} as safe, {sql_chain('source_path', T.CHAPTER_TITLE)} as chapter from books where length(source_path) < 60")
-def sanitize_name(s, d):
-    p = c("source_path")
-    return table(s, d, "books").where("length(source_path) < 60").select("source_path").distinct().select("source_path", T.sanitize(p).alias("safe"), T.sanitize_chapter(p).alias("chapter"))
+SAFE = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(v, '[/\\\\:\"*?<>|;]+', '_', 'g'), '^[._]+', ''), '[._]+$', ''), '__+', '_', 'g')"
 
 
-@query()
-def sanitize_name_all(s, d):
+@query(f"""with n as (select source_path as v from books where source_path is not null union select text from documents where text is not null), s as (select v, {SAFE} as s from n), x as (select *, regexp_extract(s, '(?s)^.+(\\.[^.]+)$', 1) as ext from s),
+y as (select *, left(s, length(s) - length(ext)) as stem from x)
+select v as value, case when strlen(s) <= 255 then s else left(stem, coalesce(list_max(list_filter(range(0, 256), lambda k: strlen(left(stem, k)) + strlen(ext) <= 255)), 0)) || ext end as safe,
+regexp_replace(regexp_replace(regexp_replace(v, '[/\\\\:"*?<>|;]+', ' ', 'g'), '  +', ' ', 'g'), '^\\s+|\\s+$', '', 'g') as chapter from y""")
+def sanitize_name(s, d):
     """Every source path and every text of a document as a file name and as a chapter title: names of any length, the long ones cut to 255 bytes."""
     values = table(s, d, "books").select(c("source_path").alias("value")).unionByName(table(s, d, "documents").select(c("text").alias("value")))
     return values.where("value is not null").distinct().select("value", T.sanitize(c("value")).alias("safe"), T.sanitize_chapter(c("value")).alias("chapter"))
@@ -187,25 +183,20 @@ def hms_render(s, d):
     return rows.select("entry_id", T.hms(c("duration_s")).alias("hms"), T.hms_millis(F.floor(c("duration_s") * 1000).cast("bigint")).alias("hms_ms"))
 
 
-@query("""select name, row_number() over (order by list_transform(regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(regexp_replace(p, '^0+([0-9])', '\\1'), 20, '0') else p end), name) as rank
-from (select distinct regexp_extract(path, '[^/]+$') as name from library_entries where regexp_matches(regexp_extract(path, '[^/]+$'), '^[ -~]+$'))""")
-def natural_sort_rank(s, d):
-    rows = table(s, d, "library_entries").select(P.name_of(c("path")).alias("name")).where(c("name").rlike("^[ -~]+$")).distinct()
-    key = F.transform(F.regexp_extract_all(F.lower("name"), F.lit(r"([0-9]+|[^0-9]+)"), 1), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p))
-    return rows.select("name", F.row_number().over(Window.orderBy(key, "name")).cast("bigint").alias("rank"))
+NATURAL = "list_transform(regexp_extract_all(lower({0}), '([0-9]+|[^0-9]+)'), lambda p: case when regexp_matches(p, '^[0-9]') then lpad(length(regexp_replace(p, '^0+([0-9])', '\\1'))::varchar, 10, '0') || regexp_replace(p, '^0+([0-9])', '\\1') else p end)"
 
 
-@query()
-def natural_sort_rank_all(s, d):
+@query(f"select name, row_number() over (order by {NATURAL.format('name')}, name) as rank from (select distinct regexp_extract(path, '[^/]+$') as name from library_entries where regexp_extract(path, '[^/]+$') <> '')")
+def natural_sort_rank(s, d):
     """Every file name, of any script: digit runs of any length as numbers, the rest by code points of its lower case."""
-    names_ = table(s, d, "library_entries").select(P.name_of(c("path")).alias("name")).where("name <> ''").distinct()
-    number = lambda p: F.regexp_replace(p, "^0+(?=[0-9])", "")
-    key = F.transform(F.regexp_extract_all(F.lower("name"), F.lit(r"([0-9]+|[^0-9]+)"), 1), lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(number(p)).cast("string"), 10, "0"), number(p))).otherwise(p))
-    # by range partitions, as path_order
-    rows = names_.withColumn("k", key).orderBy("k", "name").select("name", F.monotonically_increasing_id().alias("m"))
-    part = F.shiftright("m", 33)
-    before = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.withColumn("part", part).join(F.broadcast(before), "part").select("name", (c("before") + c("m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("rank"))
+    rows = table(s, d, "library_entries").select(P.name_of(c("path")).alias("name")).where("name <> ''").distinct()
+    return sinks.numbered(rows, T.natural_key(c("name")), "name").select("name", "rank")
+
+
+@query(f"select path, row_number() over (order by {NATURAL.format('path')}, path) as rank from (select distinct path from library_entries)")
+def version_sort_rank(s, d):
+    """Whole paths in natural order."""
+    return sinks.numbered(table(s, d, "library_entries").select("path").where("path is not null").distinct(), T.natural_key(c("path")), "path").select("path", "rank")
 
 
 @query("""select book_hash, substr(sha256(source_path || chr(10)), 1, 16) as h from books group by all""")
@@ -268,7 +259,7 @@ def collapse_multipart(s, d):
     return L.collapse_parts(L.book_entries(table(s, d, "library_entries"), "library"), "library").select("library", "path", "author", "title", "norm_title")
 
 
-@query(f"""{COLLAPSED}, o as (select * from (select *, row_number() over (partition by norm_author, norm_title order by from_group, {PARTS}) as rn from b where library = 'source') where rn = 1 or norm_title = '')
+@query(f"""{COLLAPSED}, o as (select * from (select *, row_number() over (partition by norm_title order by from_group, {PARTS}) as rn from b where library = 'source') where rn = 1 or norm_title = '')
 select case when norm_title <> '' and exists (select 1 from b t where t.library = 'target' and t.norm_title = o.norm_title) then 'matched' else 'missing' end as status, author, title, norm_title, path from o""")
 def library_diff_exact(s, d):
     return L.library_diff(table(s, d, "library_entries"))
@@ -422,9 +413,13 @@ def largest_per_group(s, d):
     return table(s, d, "library_entries").groupBy("author").agg(F.max_by("entry_id", F.struct("size_bytes", -c("entry_id"))).alias("largest"))
 
 
-@query("select parsed_series, arg_min(book_hash, struct_pack(a := coalesce(try_cast(parsed_position as double), 999), b := book_hash)) as first from books where parsed_series is not null group by parsed_series")
+@query("""with g as (select parsed_author, list(struct_pack(t := parsed_series, s := parsed_position) order by book_hash) as l from (select distinct book_hash, parsed_author, parsed_series, parsed_position from books where parsed_author is not null and parsed_series is not null) group by parsed_author)
+select parsed_author, (list_position(list_transform(l, lambda x: coalesce(try_cast(x.s as double), 999)), list_min(list_transform(l, lambda x: coalesce(try_cast(x.s as double), 999)))) - 1)::int as best, len(l) as n from g""")
 def min_position_series(s, d):
-    return table(s, d, "books").where("parsed_series is not null").groupBy("parsed_series").agg(F.min_by("book_hash", F.struct(F.coalesce(c("parsed_position").try_cast("double"), F.lit(999.0)), "book_hash")).alias("first"))
+    """The series with the lowest number among those of an author's books, by the operator that picks a record's series."""
+    b = table(s, d, "books").where("parsed_author is not null and parsed_series is not null").select("book_hash", "parsed_author", "parsed_series", "parsed_position").distinct()
+    own = b.groupBy("parsed_author").agg(F.array_sort(F.collect_list(F.struct("book_hash", c("parsed_series").alias("title"), c("parsed_position").alias("sequence")))).alias("l"))
+    return own.select("parsed_author", C.best_series(c("l")).alias("best"), F.size("l").cast("bigint").alias("n"))
 
 
 @query("select vec_id, list_max(embedding) as best, len(embedding) as n from embeddings")
@@ -485,12 +480,6 @@ def dest_path(s, d):
     return table(s, d, "books").select("book_hash", C.destination(a, se, t, p).alias("dest"), C.album(t, se, p).alias("album"), C.sort_album(t, se, p).alias("sort_album")).distinct()
 
 
-@query()
-def library_filename(s, d):
-    e = lambda x: F.coalesce(c(x), F.lit(""))
-    return table(s, d, "books").where("parsed_title <> ''").select("book_hash", C.file_name(e("parsed_title"), e("parsed_series"), e("parsed_position")).alias("name")).distinct()
-
-
 @query("""with b as (select distinct book_hash, coalesce(parsed_author, '') as a, coalesce(parsed_narrator, '') as n, coalesce(parsed_title, '') as t, coalesce(parsed_series, '') as s, coalesce(parsed_position, '') as p, coalesce(parsed_year, '') as y, coalesce(parsed_genre, '') as g, coalesce(parsed_publisher, '') as pu from books)
 select book_hash, k as key, v as value from (select book_hash, unnest(['artist', 'album_artist', 'album', 'title', 'genre', 'media_type', 'sort_album', 'pgap', 'composer', 'date', 'publisher', 'show', 'grouping', 'SHOWMOVEMENT', 'MOVEMENTNAME', 'MOVEMENT']) as k,
 unnest([case when n <> '' then a || ', ' || n else a end, a, case when s <> '' and p <> '' then s || ', Book ' || p when s <> '' then s else t end, t, case when g <> '' then g else 'Audiobook' end, '2', case when s <> '' and p <> '' then s || ' ' || p || ' - ' || t when s <> '' then s || ' - ' || t else t end, '1',
@@ -569,8 +558,8 @@ def trigger_outcome(s, d):
 k as (select distinct {PARENT} as parent from library_entries where library = 'target') select parent, newest from f, n where epoch(now) - epoch(newest) >= 120 and parent not in (select parent from k)""")
 def unprocessed_stable(s, d):
     e = table(s, d, "library_entries").select("library", P.parent_of(c("path")).alias("parent"), c("modified_at").alias("mtime"))
-    now = F.lit(e.agg(F.max("mtime")).first()[0])  # one value
-    stable = e.where("library = 'source'").groupBy("parent").agg(F.max("mtime").alias("newest")).where(F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(c("newest").cast("timestamp")) >= 120)
+    now = e.agg(F.max("mtime").alias("now"))  # one row
+    stable = St.stable_folders(e.where("library = 'source'").crossJoin(F.broadcast(now)), c("now"))
     return stable.join(e.where("library = 'target'").select("parent").distinct(), "parent", "left_anti").select("parent", "newest")
 
 
@@ -581,28 +570,33 @@ def duration_check(s, d):
     return b.select("book_hash", St.within_tolerance(c("total_duration"), F.round(c("total_duration") / 10) * 10).alias("ok"), St.target_bitrate(c("target_bitrate")).alias("kbps"))
 
 
-@query("""select l_orderkey as k, count(distinct l_linenumber) as n, max(case when st = 'F' then 1 else 0 end)::int as any_f from (select l_orderkey, l_linenumber, max(l_linestatus) as st from orders join lineitem on o_orderkey = l_orderkey group by 1, 2) group by 1""")
+@query("""with st as (select l_orderkey as k, l_linenumber::varchar as stage, max(l_linestatus) as status from orders join lineitem on o_orderkey = l_orderkey group by all)
+select o_orderkey as k, o_orderstatus as status, o_orderpriority as priority, string_agg(stage || '=' || st.status, ',' order by stage) as stages from orders join st on st.k = o_orderkey group by all""")
 def nested_record(s, d):
+    """Orders and their lines as nested records, every field and stage of which is read back."""
     books = table(s, d, "orders").select(c("o_orderkey").cast("string").alias("book_hash"), "o_orderstatus", "o_orderpriority")
     stages = table(s, d, "lineitem").select(c("l_orderkey").cast("string").alias("book_hash"), c("l_linenumber").cast("string").alias("stage"), c("l_linestatus").alias("status"))
     nested = St.nested_books(books, stages).where("stages is not null")
-    return nested.select(c("book_hash").cast("bigint").alias("k"), F.size("stages").cast("bigint").alias("n"), F.when(F.array_contains(F.map_values("stages"), "F"), 1).otherwise(0).alias("any_f"))
+    listed = F.array_join(F.transform(F.array_sort(F.map_entries("stages")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return nested.select(c("book_hash").cast("bigint").alias("k"), c("metadata")["o_orderstatus"].alias("status"), c("metadata")["o_orderpriority"].alias("priority"), listed.alias("stages"))
 
 
-@query("""with l as (select doc_id, regexp_extract(line, '^\\s*-\\s+(.+)$', 1) as dest from (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null)) select doc_id, dest, count(*) as n from l where dest <> '' group by all""")
+@query("""select regexp_extract(line, '^\\s+->\\s+(.+)$', 1) as path, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents union all select '    -> ' || path from library_entries) where regexp_extract(line, '^\\s+->\\s+(.+)$', 1) <> '' group by 1""")
 def log_dest_verify(s, d):
-    lines = table(s, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.select("doc_id", F.regexp_extract("line", r"^\s*-\s+(.+)$", 1).alias("dest")).where("dest <> ''").groupBy("doc_id", "dest").agg(F.count("*").alias("n"))
+    lines = table(s, d, "documents").select(F.explode(F.split("text", "\n")).alias("value")).unionByName(table(s, d, "library_entries").select(F.concat(F.lit("    -> "), "path").alias("value")))
+    return scan.destinations(lines).groupBy("path").agg(F.count("*").alias("n"))
 
 
 @query()
 def audit_report(s, d):
-    """The whole audit: findings of tags, structure, crowded folders, duplicates and leftover sources, counted by check and severity."""
+    """The whole audit: findings of tags, structure, crowded folders, duplicates, near duplicates (of the queries of `near_duplicate_titles`)
+    and leftover sources, counted by check and severity."""
     files = table(s, d, "library_entries").select("path").distinct()
     tags = tag_rules(s, d).select(F.lit("tags").alias("check"), "severity")
     parts = [
         tags, L.structure_findings(files).select(F.lit("structure").alias("check"), "severity"), L.crowded_folders(files).select(F.lit("duplicates").alias("check"), "severity"),
-        L.duplicate_titles(files).select(F.lit("duplicates").alias("check"), F.lit("warning").alias("severity")), sibling_semi_anti(s, d).select(F.lit("sources").alias("check"), "severity"),
+        L.duplicate_titles(files).select(F.lit("duplicates").alias("check"), F.lit("warning").alias("severity")),
+        near_duplicate_titles(s, d).where("n_links > 0").select(F.lit("near duplicates").alias("check"), F.lit("info").alias("severity")), sibling_semi_anti(s, d).select(F.lit("sources").alias("check"), "severity"),
     ]
     out = parts[0]
     for p in parts[1:]:

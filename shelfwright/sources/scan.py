@@ -62,7 +62,22 @@ def path_list(spark: SparkSession, file: str) -> DataFrame:
 
 def log_destinations(spark: SparkSession, file: str) -> DataFrame:
     """path of every line "-> path" of a log."""
-    return spark.read.text(file).select(F.regexp_extract("value", r"^\s+->\s+(.+)$", 1).alias("path")).where("path <> ''")
+    return destinations(spark.read.text(file))
+
+
+def destinations(lines: DataFrame) -> DataFrame:
+    """path of every line "-> path". lines: value."""
+    return lines.select(F.regexp_extract("value", r"^\s+->\s+(.+)$", 1).alias("path")).where("path <> ''")
+
+
+def env_settings(lines: DataFrame) -> DataFrame:
+    """key, value of lines KEY=value of a settings file; comments, other lines and values with "${" are skipped, quotes around values taken
+    off. lines: value. Of a key that stands twice the greatest value counts, as rows have no order."""
+    line = T.trim(F.col("value"))
+    key = T.trim(F.regexp_extract(line, r"^(?:export\s+)?([^=]+)=", 1))
+    value = F.regexp_replace(T.trim(F.regexp_extract(line, r"(?s)^[^=]+=(.*)$", 1)), "^[\"']+|[\"']+$", "")
+    rows = lines.where(~line.startswith("#") & ~line.contains("${")).select(key.alias("key"), value.alias("value")).where("key <> ''")
+    return rows.groupBy("key").agg(F.max("value").alias("value"))
 
 
 def markers(files: DataFrame, name: str, path: str = "path", content: str = "content") -> DataFrame:

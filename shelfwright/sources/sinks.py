@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,18 @@ def ordered_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy("check", rank, "path")
 
 
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows with `rank` from 1 in a global order: sorted by range partitions, then numbered with the sizes of the partitions before.
+
+    Equal rows in the order get different ranks in no set order. No task sees more than a partition; what is broadcast is a row for each.
+    """
+    rows = df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
+    first = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(first), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.join(F.broadcast(before), "_part").withColumn("rank", place).drop("_m", "_part", "_before")
+
+
 def markdown(findings: DataFrame) -> DataFrame:
     """value: one Markdown line per finding, for `write.text`."""
     return ordered_findings(findings).select(F.concat(F.lit("- **"), "severity", F.lit("** `"), "path", F.lit("`: "), "message").alias("value"))

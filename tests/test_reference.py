@@ -27,11 +27,11 @@ def brute_safe(name):
     return stem + ext
 
 
-def test_sanitize_name_all(spark, tmp_path):
+def test_sanitize_name(spark, tmp_path):
     made = ["A/" + "é" * 300 + ".m4b", "x" * 254 + "ж.mp3", "冬" * 5000, "a. " + "b" * 400, "short/name.m4b", None]
     own = write(spark, tmp_path / "t", books=([(v,) for v in made], "source_path string"), documents=([("One. " * 200,), ("😀" * 100 + ".txt",)], "text string"))
     for folder, least in ((own, 7), (SF, 1)):
-        got = R.QUERIES["sanitize_name_all"](spark, folder).collect()
+        got = R.QUERIES["sanitize_name"](spark, folder).collect()
         want = {v for t, col in (("books", "source_path"), ("documents", "text")) for v in pd.read_parquet(f"{folder}/{t}.parquet")[col].dropna()}
         assert len(got) == len(want) >= least and {r["value"] for r in got} == want
         assert max(len(v.encode()) for v in want) > 255
@@ -40,7 +40,7 @@ def test_sanitize_name_all(spark, tmp_path):
             assert r["chapter"] == re.sub("  +", " ", re.sub(r'[/\\:"*?<>|;]+', " ", r["value"])).strip()
 
 
-def test_natural_sort_rank_all(spark, tmp_path):
+def test_natural_sort_rank(spark, tmp_path):
     own = ["ch10.mp3", "ch2.mp3", "Ch002.mp3", "Été 10", "Été 9", "été 9", "Тайна 2", "Тайна 10", "тайна 1", "“Q” 3", "冬 1", "\U0001f600 1", "7 " + "9" * 30, "7 1" + "0" * 30, "!a", "naïve – 3"]
     folder = write(spark, tmp_path / "t", library_entries=([(f"A/{n}",) for n in [*own, own[0]]] + [(None,)], "path string"))
 
@@ -52,7 +52,7 @@ def test_natural_sort_rank_all(spark, tmp_path):
         paths = spark.read.parquet(f"{at}/library_entries.parquet").selectExpr("path").where("path is not null").distinct().collect()
         want = {n for r in paths if (n := ([p for p in r["path"].split("/") if p] or [""])[-1])}
         spark_lower = {r["n"]: r["low"] for r in spark.createDataFrame([(n,) for n in want], "n string").selectExpr("n", "lower(n) low").collect()}
-        got = {r["name"]: r["rank"] for r in R.QUERIES["natural_sort_rank_all"](spark, at).collect()}
+        got = {r["name"]: r["rank"] for r in R.QUERIES["natural_sort_rank"](spark, at).collect()}
         assert got == {n: i for i, n in enumerate(sorted(want, key=key), 1)}
     assert any(not n.isascii() for n in got)
 
