@@ -263,7 +263,7 @@ def _cells(rng, truth):
 
 
 def test_fitting_decides():
-    """What the mixture has learned, not where it starts, parts matches from the rest."""
+    """What the mixture has learned parts matches from the rest; before fitting it accepts none."""
     import numpy as np
 
     cells, n, hit = _cells(np.random.default_rng(2), True)
@@ -271,7 +271,7 @@ def test_fitting_decides():
     wrong = lambda: int(((model.posterior(cells) >= 0.5) * (n - hit) + (model.posterior(cells) < 0.5) * hit).sum())
     start = wrong()
     model.fit()
-    assert wrong() < 30 and start > 3 * wrong()
+    assert wrong() < 30 and start >= 300
 
 
 def test_transitivity(spark):
