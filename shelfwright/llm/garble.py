@@ -96,10 +96,13 @@ def _doubtful(v: str) -> bool:
     return not v.isascii() and any(c[1] == "utf-8" and invert(v, c) is not None for c in CHAINS)
 
 
+_OTHER_SCRIPT = re.compile(r"[^\W\d_a-zA-ZÀ-ɏ]{2}")
+
+
 def _garbled(v: str, chain: tuple) -> str | None:
     """A clean value after a chain, None where the chain doesn't change it or can't carry it. Chains from encodings of other scripts take
     values with two neighbouring letters of it: a single one is a borrowed look-alike rather than that script."""
-    if chain[1] not in ("utf-8", "cp1252") and not re.search(r"[^\W\d_a-zA-ZÀ-ɏ]{2}", v):
+    if chain[1] not in ("utf-8", "cp1252") and not _OTHER_SCRIPT.search(v):
         return None
     try:
         bad = damage(v, chain)
@@ -138,7 +141,7 @@ def _verified(v: str, label: str) -> tuple[bool, str | None]:
     if before is None:
         before = invert_parts(v, chain)
     ok = before is not None and before != v and not any(unicodedata.category(c) in ("Cc", "Co", "Cn") for c in before)
-    return ok, before
+    return ok and (chain[1] in ("utf-8", "cp1252") or bool(_OTHER_SCRIPT.search(before))), before
 
 
 def classify(values: list[str], w: np.ndarray) -> list[tuple[str, str | None]]:
