@@ -117,14 +117,21 @@ def slips(length: int) -> int:
     return 0 if length < 4 else 1 if length < 9 else 2
 
 
-def same_given(word: str, given: str) -> int:
-    """How a word says a given name: 3 the name, 2 with a slip or a short form, 1 its initial, 0 not."""
+def means(word: str, given: str) -> int:
+    """How a word says a given name apart from slips: 3 the name or a short form on the list, 2 its beginning or a slip of a short form, 1 its
+    initial, 0 not."""
     if word == given or NICKNAMES.get(word) == given or NICKNAMES.get(given) == word:
         return 3
     if len(word) == 1:
         return 1 if word == given[:1] or word == "?" else 0
     if len(word) >= 3 and given.startswith(word):
         return 2
-    if near(word, given, min(2, slips(max(len(word), len(given))))):
-        return 2
     return 2 if any(f == given and len(n) > 3 and near(word, n) for n, f in NICKNAMES.items()) else 0
+
+
+def same_given(word: str, given: str) -> int:
+    """As `means`, and 2 with a slip."""
+    how = means(word, given)
+    if how or len(word) == 1:
+        return how
+    return 2 if near(word, given, min(2, slips(max(len(word), len(given))))) else 0

@@ -1,12 +1,14 @@
 """Variant spellings of names: which spellings name the same person or organisation.
 
-Spellings are parsed into surname and given parts. Surnames (an organisation counts as one) are joined within a radius of a true edit
-metric (unrestricted Damerau-Levenshtein): a tree of pivots parts the metric space into balls, a name within the radius of a
-boundary stands on both sides (triangle inequality), and each cell is joined exactly by itself. A rare surname goes to the commonest
-one it is within the radius of. Among the spellings of one surname, given names are compared as names, short forms, initials and
-slips, which gives the people; a spelling that would do for two people is linked to neither.
+Spellings are parsed into surname and given parts. Surnames (an organisation counts as one), and the given names of one surname, are joined
+within a radius of a true edit metric (unrestricted Damerau-Levenshtein): a tree of pivots parts the metric space into balls, a name within
+the radius of a boundary stands on both sides (triangle inequality), and each cell is joined exactly by itself. A rare surname goes to the
+commonest one it is within the radius of. Among the spellings of one surname, given names are then grouped by those pairs, short forms and
+initials, which gives the people; a spelling that would do for two people is linked to neither.
 
-The pivots come from a bounded sample of surnames (`SAMPLE`); all names are assigned, and the join is exact whatever the pivots.
+The pivots come from a sample of names (`SAMPLE`, more where cells would hold more than about `CELL` names); all names are assigned, and the
+join is exact whatever the pivots. Spellings that read alike (the same parts and surname) are one row for all that follows the parsing, so
+that a surname with very many spellings is no large group: what is grouped is the distinct given parts of one surname.
 
 Defined results: blank, null, damaged values and values that name nobody have no pairs; equal strings are one spelling; "Jr." is
 another person; a spelling that is alone has no pair.
@@ -23,15 +25,17 @@ from pyspark.sql import functions as F
 
 from ..util import blank, clustered, cut, spread
 from . import garble
-from .names import NICKNAMES, ORG_WORDS, distance, near, parse, same_given
+from .names import NICKNAMES, ORG_WORDS, distance, means, near, parse
 
-#: Surnames from which pivots are taken, names in a leaf of the tree at most (of the sample), edit radius, given names known at most.
-SAMPLE, LEAF, RADIUS, GIVEN = 4000, 60, 1, 4000
+#: Names from which pivots are taken, at least; of the sample in a leaf of the tree, at most; names in a cell, about; edit radius.
+SAMPLE, LEAF, CELL, RADIUS = 4000, 60, 3000, 1
+#: A word is known as a given name if it stands before more than this share of the surnames that the commonest one does (and three at least).
+KNOWN = 0.05
 
 
 # pivots
 
-def grow(names: list[str], leaf: int = LEAF, depth: int = 12) -> tuple | None:
+def grow(names: list[str], leaf: int = LEAF, depth: int = 40) -> tuple | None:
     """A tree of balls (pivot, radius, inside, outside) over a sample of names; None is a leaf."""
     if len(names) <= leaf or depth == 0:
         return None
@@ -85,11 +89,11 @@ def join_cell(names: list[str], radius: int = RADIUS) -> list[tuple[str, str]]:
     return sorted(p for p in pairs if distance(*p) <= radius)
 
 
-def radius_join(names: DataFrame, sample: int = SAMPLE, radius: int = RADIUS) -> DataFrame:
-    """a, b of all pairs (a < b) of distinct values in column `name` within the edit radius."""
+def radius_join(names: DataFrame, sample: int = SAMPLE, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
+    """a, b, d (their distance) of all pairs (a < b) of distinct values in column `name` within the edit radius."""
     own = names.select("name").where("name is not null and name <> ''").distinct()
-    first = [r["name"] for r in own.orderBy(F.xxhash64("name"), "name").limit(sample).collect()]
-    tree = grow(first)
+    take = max(sample, -(-own.count() * LEAF // cell))
+    tree = grow([r["name"] for r in own.orderBy(F.xxhash64("name"), "name").limit(take).collect()])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -97,9 +101,9 @@ def radius_join(names: DataFrame, sample: int = SAMPLE, radius: int = RADIUS) ->
             yield pd.DataFrame(rows, columns=["cell", "name"])
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(join_cell(list(pdf["name"]), radius), columns=["a", "b"])
+        return pd.DataFrame([(a, b, distance(a, b)) for a, b in join_cell(list(pdf["name"]), radius)], columns=["a", "b", "d"])
 
-    return clustered(spread(own, "name").mapInPandas(assign, "cell string, name string"), "cell").groupBy("cell").applyInPandas(within, "a string, b string").distinct()
+    return clustered(spread(own, "name").mapInPandas(assign, "cell string, name string"), "cell").groupBy("cell").applyInPandas(within, "a string, b string, d int").distinct()
 
 
 # people
@@ -128,20 +132,22 @@ def _founders(words: str) -> str:
 
 
 def _people(pdf: pd.DataFrame, given: frozenset[str]) -> pd.DataFrame:
-    """spelling, person of the spellings of one surname (columns spelling, parts, junior, center)."""
+    """row, person of the readings of one surname. pdf: row, parts, junior, n, center, near (given names within the radius of
+    the first one's full form)."""
     center = pdf["center"].iloc[0]
-    rows = [(s, tuple(p.split(" ")) if p else (), bool(j), n) for s, p, j, n in zip(pdf["spelling"], pdf["parts"], pdf["junior"], pdf["n"])]
-    full = Counter()
-    for _, p, _, n in rows:
+    rows = [(i, tuple(p.split(" ")) if p else (), bool(j), n) for i, p, j, n in zip(pdf["row"], pdf["parts"], pdf["junior"], pdf["n"])]
+    full, near_to = Counter(), defaultdict(set)
+    for (_, p, _, n), others in zip(rows, pdf["near"]):
         if p and len(p[0]) > 2:
             name = NICKNAMES.get(p[0], p[0])
             full[name] += n
+            near_to[name].update(others if others is not None else ())
     heads: list[str] = []  # distinct given names, the surest first
     says: dict[str, str | None] = {}
     for name in sorted(full, key=lambda g: (g not in given, -full[g], g)):
-        like = [h for h in heads if same_given(name, h) >= 2 and not (name in given and len(name) > 3)]
+        like = [h for h in heads if (h in near_to[name] or name in near_to[h] or means(name, h) >= 2) and not (name in given and len(name) > 3)]
         if like:
-            says[name] = like[0] if len(like) == 1 or same_given(name, like[0]) > 2 else None
+            says[name] = like[0] if len(like) == 1 or means(name, like[0]) > 2 else None
         else:
             heads.append(name)
             says[name] = name
@@ -151,7 +157,7 @@ def _people(pdf: pd.DataFrame, given: frozenset[str]) -> pd.DataFrame:
             second[h].add(p[1])
     juniors = {(says.get(NICKNAMES.get(p[0], p[0])) if p and len(p[0]) > 2 else None) for _, p, j, _ in rows if j}
     out = []
-    for spelling, p, junior, _ in rows:
+    for i, p, junior, _ in rows:
         if not p:
             who = ""
         elif len(p[0]) > 2:
@@ -166,8 +172,8 @@ def _people(pdf: pd.DataFrame, given: frozenset[str]) -> pd.DataFrame:
                 can = [h for h in can if h in juniors] or can
             who = can[0] if len(can) == 1 else None if can else letters[0]
         if who is not None:
-            out.append((spelling, f"{center}|{who}|{'jr' if junior else ''}"))
-    return pd.DataFrame(out, columns=["spelling", "person"])
+            out.append((i, f"{center}|{who}|{'jr' if junior else ''}"))
+    return pd.DataFrame(out, columns=["row", "person"])
 
 
 def spellings(books: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -179,7 +185,7 @@ def spellings(books: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.join(damaged, "value", "left_anti").select(F.col("value").alias("spelling"), "n")
 
 
-def people(values: DataFrame, bound: int = GIVEN) -> DataFrame:
+def people(values: DataFrame) -> DataFrame:
     """spelling, person (a key) of every spelling that names somebody. values: spelling, n."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,14 +195,14 @@ def people(values: DataFrame, bound: int = GIVEN) -> DataFrame:
 
     parsed = spread(values, "spelling").mapInPandas(read, "spelling string, n bigint, kind string, words string, last int, junior boolean").where("kind <> 'nobody' and words <> ''")
     parsed = cut(parsed)
-    # given names: words that stand first before many different words (a bounded list, the commonest first)
+    # given names: words that stand first before many different words
     first = parsed.where("kind = 'person' and last = 0").select(F.split("words", " ").alias("w")).where("size(w) = 2 and length(w[0]) > 2")
     after = parsed.where("kind = 'person' and last = 1").select(F.split("words", " ").alias("w")).where("size(w) = 2 and length(w[1]) > 2").select(F.array(F.col("w")[1], F.col("w")[0]).alias("w"))
-    common = first.unionByName(after).groupBy(F.col("w")[0].alias("g")).agg(F.countDistinct(F.col("w")[1]).alias("k")).where("k > 3").orderBy(F.desc("k"), "g").limit(bound).collect()
-    most = max((r["k"] for r in common), default=0)
+    before = cut(first.unionByName(after).groupBy(F.col("w")[0].alias("g")).agg(F.countDistinct(F.col("w")[1]).alias("k")).where("k > 3"))
+    most = before.agg(F.max("k").alias("k")).first()["k"] or 0
     known: dict[str, int] = {}
-    for r in common:  # a word that is a slip of a far commoner one is no name of its own
-        if r["k"] > max(3, most * 0.05) and not any(k > 5 * r["k"] and near(r["g"], g) for g, k in known.items()):
+    for r in before.where(F.col("k") > max(3, most * KNOWN)).orderBy(F.desc("k"), "g").collect():  # so many fit below the commonest only in small number
+        if not any(k > 5 * r["k"] and near(r["g"], g) for g, k in known.items()):  # a word that is a slip of a far commoner one is no name of its own
             known[r["g"]] = r["k"]
     given = frozenset(known)
 
@@ -208,15 +214,29 @@ def people(values: DataFrame, bound: int = GIVEN) -> DataFrame:
     read_names = cut(parsed.mapInPandas(split, "spelling string, n bigint, kind string, junior boolean, parts string, surname string").where("surname <> ''"))
     size = read_names.groupBy("surname").agg(F.sum("n").alias("size"))
     pairs = cut(radius_join(size.select(F.col("surname").alias("name"))))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     lead = both.join(size.select(F.col("surname").alias("b"), F.col("size").alias("other")), "b").groupBy("a").agg(F.max(F.struct("other", "b")).alias("top"))
     center = size.join(lead.withColumnRenamed("a", "surname"), "surname", "left").select(
         "surname", F.when(F.struct("size", "surname") < F.struct(F.col("top.other").alias("size"), F.col("top.b").alias("surname")), F.col("top.b")).otherwise(F.col("surname")).alias("center"))
     # a slip of a slip ends at the commonest too
     up = center.select(F.col("surname").alias("center"), F.col("center").alias("above"))
     center = center.join(up, "center").select("surname", F.col("above").alias("center"))
-    placed = read_names.join(center, "surname").select("center", "spelling", "n", "parts", "junior")
-    return clustered(placed, "center").groupBy("center").applyInPandas(lambda pdf: _people(pdf, given), "spelling string, person string")
+    placed = cut(read_names.join(center, "surname").select("center", "spelling", "n", "parts", "junior", F.xxhash64("center", "parts", "junior").alias("row")))
+    reading = placed.groupBy("row", "center", "parts", "junior").agg(F.sum("n").alias("n"))
+    # given names of one surname within the radius: slips of each other
+    nick = F.create_map(*[F.lit(x) for kv in sorted(NICKNAMES.items()) for x in kv])
+    word = F.split("parts", " ")[0]
+    word = F.coalesce(nick[word], word)
+    names_ = reading.select("center", word.alias("g")).where("length(g) > 2").distinct()
+    close = radius_join(names_.select(F.col("g").alias("name")), radius=2).where(F.least(F.length("a"), F.length("b")) >= 3)
+    slip = F.when(F.greatest(F.length("a"), F.length("b")) < 4, 0).when(F.greatest(F.length("a"), F.length("b")) < 9, 1).otherwise(2)
+    close = cut(close.where(F.col("d") <= slip).select("a", "b"))
+    both_ways = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    pairs = names_.join(both_ways.withColumnRenamed("a", "g"), "g").join(names_.select("center", F.col("g").alias("b")), ["center", "b"])
+    near_ = pairs.groupBy("center", "g").agg(F.sort_array(F.collect_set("b")).alias("near"))
+    rows = reading.withColumn("g", word).join(near_, ["center", "g"], "left").drop("g")
+    who = clustered(rows, "center").groupBy("center").applyInPandas(lambda pdf: _people(pdf, given), "row bigint, person string")
+    return placed.select("row", "spelling").join(who, "row").select("spelling", "person")
 
 
 def found(books: DataFrame, aliases: DataFrame) -> DataFrame:

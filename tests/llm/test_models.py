@@ -95,6 +95,8 @@ def test_radius_join_is_exact(spark):
     assert all(cells[a] & cells[b] for a, b in want)  # a pair is together in some cell
     got = {(r["a"], r["b"]) for r in variants.radius_join(spark.createDataFrame([(n,) for n in pool], "name string"), sample=200).collect()}
     assert got == want
+    many = spark.createDataFrame([(n,) for n in pool], "name string")
+    assert {(r["a"], r["b"]) for r in variants.radius_join(many, sample=20, cell=100).collect()} == want  # more pivots, as cells are to be smaller
 
 
 def test_variants(spark):
