@@ -2,12 +2,13 @@
 
 Every object of a record (the record itself, its authors, its series, its chapters at any depth) is brought to a canonical form
 and hashed bottom-up: an object's hash covers its own filled fields and the hashes of its children with their ordinals. So equal
-subtrees have equal hashes wherever they stand. `object_store` keeps each distinct object once; `bridge` keeps every occurrence as
-a row (record, parent node, child node, ordinal). The flat tables are the bridge joined to the store.
+subtrees have equal hashes wherever they stand. Each payload is read once, into nodes that are written to the shared folder.
+`object_store` keeps each distinct object once, with its fields and whether it holds anything; `bridge` keeps every occurrence as
+a row (record, parent node, child node, ordinal). All flat tables and `found` are the bridge joined to the store by identity.
 
 Defined results: a null, empty or unreadable payload has no rows; an entry that is null, blank or without filled field keeps its
-number but is marked `filled = false`; repeated rows of one record id are separate records with equal nodes (distinct in the
-flat tables); extra columns are ignored; an empty table gives empty tables.
+number but isn't filled (it is in the bridge, not in the flat tables); repeated rows of one record id are separate records with equal
+nodes (distinct in the flat tables); extra columns are ignored; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -20,21 +21,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..util import spread
+from ..util import spread, stored
 
 #: Fields of a book that hold children, and the kind of child.
 CHILD_FIELDS = {"authors": "author", "seriesPrimary": "series", "chapters": "chapter"}
 CHAPTER_FIELDS = ("title", "lengthMs", "startOffsetMs", "startOffsetSec")
 WRAPPER_FIELDS = ("chapters", "isAccurate", "runtimeLengthMs", "brandIntroDurationMs", "brandOutroDurationMs")
 
-BRIDGE_SCHEMA = "record_id bigint, child string, parent_path string, node_path string, ordinal int, parent_hash string, object_hash string, filled boolean"
-OBJECT_SCHEMA = "object_hash string, child string, fields string"
+NODES = "record_id bigint, child string, parent_path string, node_path string, ordinal int, parent_hash binary, object_hash binary, filled boolean, fields string"
+#: The kind of the node that a record itself is.
+RECORD = "record"
 
 
-def _digest(kind: str, fields: dict, children: list[str]) -> str:
+def _digest(kind: str, fields: dict, children: list[bytes]) -> bytes:
     """Identity of a canonical object; children are hashes in order."""
-    text = json.dumps([kind, fields, children], sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    text = json.dumps([kind, fields], sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass") + b"".join(children), digest_size=16).digest()
 
 
 def _filled(v) -> bool:
@@ -87,64 +89,53 @@ class _Walk:
     """Collects the nodes of one record, children before parents."""
 
     def __init__(self) -> None:
-        self.nodes: list[tuple] = []  # kind, parent path, path, ordinal, hash, filled
-        self.objects: dict[str, tuple[str, dict]] = {}
-        self.kids: dict[tuple[str, str], str] = {}
+        self.nodes: list[tuple] = []  # kind, parent path, path, ordinal, hash, filled, fields
+        self.hashes: dict[tuple[str, str], bytes] = {}
 
-    def entry(self, kind: str, v, parent: str, ordinal: int) -> str:
+    def entry(self, kind: str, v, parent: str, ordinal: int) -> bytes:
         v, path = _opened(v), f"{parent}.{ordinal}" if parent else str(ordinal)
         if isinstance(v, list):
             v = {"entries": v}
         own = v if isinstance(v, dict) else {} if v is None else {"title" if kind == "chapter" else "name": v}
         fields = {k: x for k, x in own.items() if _filled(x) and not (kind == "chapter" and k == "chapters")}
         inner = _entries(kind, own.get("chapters")) if kind == "chapter" and "chapters" in own else []
-        below = [self.entry(kind, x, path, i) for i, x in enumerate(inner, 1)]
-        h = _digest(kind, fields, below)
-        self.objects[h] = (kind, fields)
-        self.nodes.append((kind, parent, path, ordinal, h, bool(fields) or any(map(_filled, inner))))
-        self.kids[kind, path] = h
+        h = _digest(kind, fields, [self.entry(kind, x, path, i) for i, x in enumerate(inner, 1)])
+        self.nodes.append((kind, parent, path, ordinal, h, bool(fields) or any(map(_filled, inner)), fields))
+        self.hashes[kind, path] = h
         return h
 
-    def book(self, v: dict) -> str:
+    def book(self, v: dict) -> None:
         below = [self.entry(kind, x, "", i) for field, kind in CHILD_FIELDS.items() for i, x in enumerate(_entries(kind, v.get(field)), 1)]
         fields = {k: x for k, x in v.items() if k not in CHILD_FIELDS and _filled(x)}
-        h = _digest("record", fields, below)
-        self.objects[h] = ("record", fields)
-        return h
+        self.root = _digest(RECORD, fields, below)
+        self.nodes.append((RECORD, "", "", 0, self.root, True, fields))
 
 
-def _walk(payload: str | None) -> tuple[_Walk, str] | None:
+def _walk(payload: str | None) -> _Walk | None:
     try:
         v = _book(json.loads(payload))
     except (ValueError, TypeError, RecursionError):
         return None
     if v is None:
         return None
-    return (w := _Walk()), w.book(v)
+    w = _Walk()
+    w.book(v)
+    return w
 
 
-def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in BRIDGE_SCHEMA.split(", ")]
+def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in NODES.split(", ")]
     for pdf in batches:
-        rows = []
+        rows, seen = [], set()  # the fields of an object leave a batch once
         for rid, payload in zip(pdf["record_id"], pdf["payload"]):
-            if (found := _walk(payload)) is not None:
-                w, root = found
-                rows += [(rid, kind, parent or None, path, n, w.kids[kind, parent] if parent else root, h, full) for kind, parent, path, n, h, full in w.nodes]
+            if (w := _walk(payload)) is not None:
+                for kind, parent, path, n, h, full, fields in w.nodes:
+                    above = None if kind == RECORD else w.hashes[kind, parent] if parent else w.root
+                    rows.append((rid, kind, parent or None, path or None, n, above, h, full, None if h in seen else json.dumps(fields, sort_keys=True, ensure_ascii=False)))
+                    seen.add(h)
         yield pd.DataFrame(rows, columns=names)
 
 
-def _objects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        seen: dict[str, tuple] = {}  # equal objects of a batch leave the task once
-        for payload in pdf["payload"]:
-            if (found := _walk(payload)) is not None:
-                for h, (kind, fields) in found[0].objects.items():
-                    if h not in seen:
-                        seen[h] = (h, kind, json.dumps(fields, sort_keys=True, ensure_ascii=False))
-        yield pd.DataFrame(list(seen.values()), columns=["object_hash", "child", "fields"])
-
-
 def _text(v) -> str | None:
     return v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
 
@@ -194,35 +185,54 @@ def _source(raw: DataFrame) -> DataFrame:
     return spread(raw.select(F.col("record_id").cast("bigint").alias("record_id"), F.col("payload")).where("record_id is not null and payload is not null"), "record_id")
 
 
+def nodes(raw: DataFrame) -> DataFrame:
+    """Every object of every record, read once and written to the shared folder. raw: record_id, payload."""
+    return stored(_source(raw).mapInPandas(_nodes, NODES))
+
+
+def _hex(column: str):
+    return F.lower(F.hex(column)).alias(column)
+
+
+def _bridge(own: DataFrame) -> DataFrame:
+    return own.where(F.col("child") != RECORD).select("record_id", "child", "parent_path", "node_path", "ordinal", "parent_hash", "object_hash").distinct()
+
+
+def _store(own: DataFrame) -> DataFrame:
+    return own.groupBy("object_hash").agg(F.min("child").alias("child"), F.max("fields").alias("fields"), F.bool_or("filled").alias("filled"))
+
+
 def bridge(raw: DataFrame) -> DataFrame:
-    """One row per occurrence of an object below its parent: the parent-child links with ordinals. raw: record_id, payload."""
-    return _source(raw).mapInPandas(_occurrences, BRIDGE_SCHEMA)
+    """One row per occurrence of an object below its parent: the parent-child links with ordinals."""
+    return _bridge(nodes(raw)).select("record_id", "child", "parent_path", "node_path", "ordinal", _hex("parent_hash"), _hex("object_hash"))
 
 
 def object_store(raw: DataFrame) -> DataFrame:
-    """Each distinct object once: object_hash, child (its kind), fields (canonical JSON of its own filled fields)."""
-    return _source(raw).mapInPandas(_objects, OBJECT_SCHEMA).groupBy("object_hash").agg(F.min("child").alias("child"), F.min("fields").alias("fields"))
+    """Each distinct object once: object_hash, child (its kind), fields (canonical JSON of its own filled fields), filled."""
+    return _store(nodes(raw)).select(_hex("object_hash"), "child", "fields", "filled")
 
 
 def found(raw: DataFrame) -> DataFrame:
-    """record_id, child, node_path of every filled entry."""
-    return bridge(raw).where("filled").select("record_id", "child", "node_path").distinct()
+    """record_id, child, node_path of every filled entry: occurrences of objects that hold anything.
 
+    A very frequent object is a hot key of the join; adaptive skew handling splits the bridge side, the store side has one row.
+    """
+    own = nodes(raw)
+    full = _store(own).where("filled").select("object_hash")
+    return _bridge(own).join(full, "object_hash").select("record_id", "child", "node_path")
 
-def flat_table(raw: DataFrame, child: str) -> DataFrame:
-    """The flat table of one kind of child. Rows point to their record, their parent node and parent object.
 
-    An object that is very frequent makes a hot join key; adaptive skew handling splits the bridge side, the store side has one row.
-    """
-    rows = bridge(raw).where(F.col("filled") & (F.col("child") == child)).drop("filled", "child").distinct()
-    out = rows.join(object_store(raw).where(F.col("child") == child).drop("child"), "object_hash")
+def flat_table(raw: DataFrame, child: str) -> DataFrame:
+    """The flat table of one kind of child. Rows point to their record, their parent node and parent object."""
+    own = nodes(raw)
+    out = _bridge(own).where(F.col("child") == child).drop("child").join(_store(own).where(F.col("filled") & (F.col("child") == child)).drop("child", "filled"), "object_hash")
     if child == "chapter":
         f = F.from_json("fields", "title string, lengthMs bigint, startOffsetMs bigint, startOffsetSec bigint")
-        own = [f["title"].alias("title"), f["lengthMs"].alias("length_ms"), f["startOffsetMs"].alias("start_ms")]
+        cols = [f["title"].alias("title"), f["lengthMs"].alias("length_ms"), f["startOffsetMs"].alias("start_ms")]
     elif child == "series":
         f = F.from_json("fields", "name string, position string")
-        own = [f["name"].alias("name"), f["position"].alias("position")]
+        cols = [f["name"].alias("name"), f["position"].alias("position")]
     else:
         f = F.from_json("fields", "name string, asin string")
-        own = [f["name"].alias("name"), f["asin"].alias("asin")]
-    return out.select("record_id", "node_path", "parent_path", "ordinal", "parent_hash", "object_hash", *own)
+        cols = [f["name"].alias("name"), f["asin"].alias("asin")]
+    return out.select("record_id", "node_path", "parent_path", "ordinal", _hex("parent_hash"), _hex("object_hash"), *cols)

@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: nested.found(table(s, d, "catalog_raw")),
         "p1_authors": lambda s, d: nested.flat_table(table(s, d, "catalog_raw"), "author"),
         "p1_series": lambda s, d: nested.flat_table(table(s, d, "catalog_raw"), "series"),
+        "p1_objects": lambda s, d: nested.object_store(table(s, d, "catalog_raw")),
+        "p1_bridge": lambda s, d: nested.bridge(table(s, d, "catalog_raw")),
         "p1_chapters": lambda s, d: nested.flat_table(table(s, d, "catalog_raw"), "chapter"),
         "p3_found": lambda s, d: packed.found(table(s, d, "books"), table(s, d, "genre_ref")),
     }

@@ -33,6 +33,22 @@ def test_nested_found(spark):
     assert rows(N.found(raw(spark)), "record_id", "child", "node_path") == want
 
 
+def test_nested_found_needs_identities(spark, monkeypatch):
+    """Workers run in other processes, so the digest is replaced where nodes are made here."""
+    import pandas as pd
+
+    def objects(payloads):
+        one = pd.concat(N._nodes(iter([pd.DataFrame({"record_id": [i for i, _ in payloads], "payload": [p for _, p in payloads]})])))
+        return one.groupby(one["object_hash"]).agg(kinds=("child", "nunique"), filled=("filled", "nunique"))
+
+    data = [(i, json.dumps(p)) for i, p in PAYLOADS if isinstance(p, dict)]
+    good = objects(data)
+    assert (good["kinds"] == 1).all() and (good["filled"] == 1).all()  # an identity tells what it is and whether it is filled
+    monkeypatch.setattr(N, "_digest", lambda *_: b"same")
+    bad = objects(data)
+    assert len(bad) == 1 and bad["filled"].iloc[0] == 2
+
+
 def test_nested_identities(spark):
     a = N.flat_table(raw(spark), "author")
     assert {r["object_hash"] for r in a.where("name = 'Ann'").collect()}.__len__() == 1  # one object in three records and forms
