@@ -13,6 +13,7 @@ left out; documents that repeat are classified alike; whole texts are read, of a
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -29,6 +30,8 @@ from . import leaks
 
 TRAIN_DOCS = 12_000
 BEAM, SOURCES = 8, 8
+#: Held-out rows that the uncalibrated score counts for in the calibration.
+BELIEF = 2.0
 #: Counts that pull a term's weight to the average; log odds that the terms of a sentence have to reach.
 SMOOTH, NO_SUBJECT = 2.0, 1.4
 #: Divergences from the average, as shares of the greatest possible, between which a term's weight grows from none to full.
@@ -132,28 +135,30 @@ class Model:
             w = _logistic(a[~held], y[~held, k])
             self.chain.append(w)
             z = a[held] @ w
-            self.scale.append(_logistic(np.stack([z, np.ones(len(z))], 1), y[held, k], ridge=1e-2, start=np.array([1.0, 0.0])) if held.sum() > 50 else np.array([1.0, 0.0]))
+            self.scale.append(_logistic(np.stack([z, np.ones(len(z))], 1), y[held, k], ridge=BELIEF / max(held.sum(), 1), start=np.array([1.0, 0.0])))
 
     def decode(self, x: np.ndarray) -> list[str]:
+        """The likeliest combination of labels of a document's features, by beam search along the chain."""
+        n = x.shape[1]
+        own = [float(x[k] @ w[:n]) + w[-1] for k, w in enumerate(self.chain)]
         beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for k in range(len(self.subjects)):
-            w, (a, b) = self.chain[k], self.scale[k]
-            z0 = float(x[k] @ w[: x.shape[1]]) + w[-1]
-            after = w[x.shape[1] : -1]
-            grown = []
-            for score, labels in beam:
-                z = a * (z0 + 0.5 * sum(after[j] for j, y in enumerate(labels) if y)) + b
-                grown += [(score - np.logaddexp(0, -z), (*labels, 1)), (score - np.logaddexp(0, z), (*labels, 0))]
+        for k, w in enumerate(self.chain):
+            (a, b), grown = self.scale[k], []
+            for score, on in beam:
+                z = a * (own[k] + 0.5 * sum(w[n + j] for j in on)) + b
+                e = math.log1p(math.exp(-abs(z)))  # log odds to log probabilities of yes and no
+                grown += [(score + min(z, 0) - e, (*on, k)), (score - max(z, 0) - e, on)]
             beam = sorted(grown, reverse=True)[:BEAM]
-        return [s for s, y in zip(self.subjects, beam[0][1]) if y]
+        return [self.subjects[k] for k in beam[0][1]]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, start: np.ndarray | None = None) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
-    w = np.zeros(x.shape[1]) if start is None else start.copy()
-    for _ in range(25):
+    """Logistic regression by Newton steps, drawn to `start` (zero if not given); without rows it is the start."""
+    start = np.zeros(x.shape[1]) if start is None else start
+    w = start.copy()
+    for _ in range(25 if len(y) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) / len(y) + ridge * w
+        g = x.T @ (p - y) / len(y) + ridge * (w - start)
         h = (x * (p * (1 - p))[:, None]).T @ x / len(y) + (ridge + 1e-6) * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
