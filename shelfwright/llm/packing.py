@@ -26,7 +26,7 @@ from ..util import cut, spread, width
 
 #: File of a public tokenizer; a bare name is looked up among the installed ones.
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Different lengths that third members of patterns are taken from (evenly over all lengths present).
+#: Different lengths that third members of patterns are taken from (evenly over all lengths present). What no pattern takes is packed by best fit.
 THIRDS = 24
 #: Kinds of packs at most (each document stands once in each).
 MAX_KINDS = 100
@@ -139,7 +139,7 @@ def plan(have: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], .
     left[0] = 0
     for _ in range(3):  # rounding leaves parts of each pattern; they are fitted again
         pats = patterns(left, capacity)
-        if not pats or left.sum() < 64:
+        if not pats:
             break
         for p, x in sorted(zip(pats, fit_counts(pats, left)), key=lambda y: -y[1]):
             times = min(int(x), *(int(left[length]) // k for length, k in p))
@@ -217,9 +217,9 @@ def packs(documents: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER) ->
 
 
 def utilisation(documents: DataFrame, sizes: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """pack_kind, packs, tokens, unused (tokens of room left), share_used of every kind of pack."""
+    """pack_kind, packs, least_packs (what the tokens would fill without any loss), tokens, unused (room left), share_used of every kind of pack."""
     caps = sizes.select("pack_kind", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
     filled = packs(documents, sizes, tokenizer).groupBy("pack_kind", "pack_id").agg(F.sum("n_tokens").alias("tokens"))
     by_kind = filled.groupBy("pack_kind").agg(F.count("*").alias("packs"), F.sum("tokens").alias("tokens"))
     room = F.col("packs") * F.col("capacity")
-    return by_kind.join(F.broadcast(caps), "pack_kind").select("pack_kind", "packs", "tokens", (room - F.col("tokens")).alias("unused"), (F.col("tokens") / room).alias("share_used"))
+    return by_kind.join(F.broadcast(caps), "pack_kind").select("pack_kind", "packs", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_packs"), "tokens", (room - F.col("tokens")).alias("unused"), (F.col("tokens") / room).alias("share_used"))
