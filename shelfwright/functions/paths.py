@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import domains as D
 from . import text as T
 
+# The patterns of file and folder names here and in the cascade below decide results.
 PART_SUFFIX = r"(?i)[,\s]+part\s+\d+\s*$"
 CHAPTER_FILE = r"(?i)^(?:ch)?\d{1,3}[a-d]?\s*[-.]\s*"
 NUMBERED_FILE = r"(?i)^(?:\d+-\d+\s+|HP[.\s]*\d+\s*[-.]\s*)"

@@ -27,6 +27,7 @@ def trim(col: Column) -> Column:
     return chain(col, [TRIM])
 
 
+# The patterns of all chains in this module and their order decide results.
 #: Title for duplicate search: before and after the author is taken off.
 DEDUP_HEAD = [
     (r"^(book\s+)?\d+\s*-\s*", ""),

@@ -112,13 +112,13 @@ def common_path_prefix(s, d):
     return L.common_root(table(s, d, "books"), "source_path")
 
 
-@query()
-def parse_path_fields(s, d):
-    rows = table(s, d, "library_entries").select("entry_id", "path")
-    return P.parse_columns(rows, "path").select("entry_id", "author", "title", "series", "position")
+_HASH = lambda x: sql_chain(x, T.STRIP_HASH)
+_BARE = lambda x: f"regexp_replace(regexp_replace(regexp_replace({sql_chain(x, T.SERIES_NUMBERS)}, '[\\[\\](){{}}]', '', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@query()
+@query(f"""with p as (select entry_id, {_HASH(STEM)} as base, {_HASH(f"coalesce({PARTS}[-2], '')")} as par, {_HASH(f"coalesce({PARTS}[-3], '')")} as gp from library_entries),
+h as (select *, case when par <> '' and par = base and gp <> '' then gp else par end as holder from p), t as (select entry_id, {_BARE('base')} as title_hint, case when holder <> '' and holder <> base then {_BARE('holder')} else '' end as author_hint from h)
+select *, trim(concat_ws(' ', nullif(author_hint, ''), title_hint)) as query from t""")
 def search_hints(s, d):
     return table(s, d, "library_entries").select("entry_id", P.search_hints(c("path")).alias("h")).select("entry_id", "h.*")
 
@@ -148,6 +148,67 @@ LOOKS = f"""not (regexp_matches(lower(author), {q('|'.join(D.COLLECTION_WORDS))}
 or len(list_filter(regexp_split_to_array(author, '\\s+'), lambda x: x <> '')) = 1 or regexp_matches(lower(author), '^(the|a|an) '))"""
 
 
+def _trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _after(x: str, mark: str) -> str:
+    """What follows the first mark, '' without one."""
+    return f"case when contains({x}, '{mark}') then substr({x}, position('{mark}' in {x}) + {len(mark)}) else '' end"
+
+
+def _owner(x: str) -> str:
+    cleaned = _trimmed(f"regexp_replace({_trimmed(f"regexp_replace({x}, '\\s*\\(.*?\\)', '', 'g')")}, '\\s*\\[.*?\\]', '', 'g')")
+    left = _trimmed(f"split_part({cleaned}, ' - ', 1)")
+    return f"case when contains({cleaned}, ' - ') and not regexp_matches({left}, '[0-9]') then {left} when {cleaned} <> '' then {cleaned} else {x} end"
+
+
+def _person(x: str) -> str:
+    return LOOKS.replace("author", x)
+
+
+def _headless(title: str, head: str) -> str:
+    return f"case when {head} <> '' and starts_with(lower({title}), lower({head})) then {_trimmed(f"regexp_replace(substr({title}, length({head}) + 1), '^[ -]+', '')")} else {title} end"
+
+
+GENERIC_SQL = "('file', 'mp3', 'audiobook', 'audio', 'book', 'track', 'output', 'part1', 'part2', 'part 1', 'part 2', 'disc1', 'disc2')"
+LABEL_SQL = "('audiobook', 'audio', 'unabridged', 'abridged')"
+_LABEL = lambda x: f"regexp_replace({x}, '(?i)\\s+-\\s+(?:Audiobook|Audio|Unabridged|Abridged)$', '', 'g')"
+_B2, _B, _G = "'^(.+?)\\s+([0-9]{1,3})\\s+-\\s+(.+)$'", "'^(.+?)\\s+([0-9]{1,3})\\s+(.+)$'", "'^(.+?)\\s+\\[([0-9]+)\\]\\s+(.+)$'"
+_pick = lambda k: f"case when b2 then {_trimmed(f'regexp_extract(t, {_B2}, {k})')} when b1 then {_trimmed(f'regexp_extract(t, {_B}, {k})')} when g then {_trimmed(f'regexp_extract(t, {_G}, {k})')} else '' end"
+_PAREN = "'(?s)^(.*?)\\s*-?\\s*\\(([^)]+?)(?:\\s*[-,]\\s*(?:Book|Day|#)\\s*([0-9.]+))?\\).*$'"
+_NAMED = _headless(f"({_headless('base', 'author')})", "series")
+PARSE_SQL = f"""with c0 as (select entry_id, {_HASH(STEM)} as base0, {_HASH(f"coalesce({PARTS}[-2], '')")} as par, {_HASH(f"coalesce({PARTS}[-3], '')")} as gp, {_HASH(f"coalesce({PARTS}[-4], '')")} as ggp from library_entries),
+c1 as (select *, case when lower(base0) in {GENERIC_SQL} and par <> '' and lower(par) not in {GENERIC_SQL} then {_LABEL('par')} when lower(base0) in {GENERIC_SQL} and gp <> '' then {_LABEL('gp')} else base0 end as base from c0),
+c2 as (select *, regexp_replace(regexp_replace(case when par <> '' then par else base end, '-#-([0-9]+)', '-#\\1', 'g'), '-#([0-9]+) ', '-#\\1-', 'g') as t from c1),
+c3 as (select *, regexp_matches(t, '-#[0-9]+-') as marked, regexp_extract(t, '(?s)^(.*)-#[0-9]+-.*$', 1) as head, regexp_matches(t, {_B2}) as b2 from c2),
+c4 as (select *, regexp_matches(head, '-.+?-#[0-9]+') as inner_, not b2 and regexp_matches(t, {_B}) and length({_trimmed(f'regexp_extract(t, {_B}, 3)')}) >= 3 as b1 from c3),
+c5 as (select *, not b2 and not b1 and regexp_matches(t, {_G}) as g, case when inner_ then regexp_extract(head, '(?s)^([^-]*)-', 1) when contains(head, '-') then regexp_extract(head, '(?s)^(.*)-([^-]*)$', 1) else head end as ma,
+case when inner_ then regexp_split_to_array(regexp_extract(head, '(?s)^[^-]*-(.*)$', 1), '-#[0-9]+')[1] when contains(head, '-') then regexp_extract(head, '(?s)^(.*)-([^-]*)$', 2) else '' end as ms, regexp_extract(t, '(?s)^.*-#[0-9]+-(.*)$', 1) as mt, regexp_extract(t, '(?s)^.*-#([0-9]+)-.*$', 1) as mp from c4),
+c6 as (select *, {_pick(1)} as series0, {_pick(2)} as pos0, {_pick(3)} as title0, {_trimmed("split_part(gp, ' - ', 1)")} as ga, {_trimmed(_after('gp', ' - '))} as gs from c5),
+c7 as (select *, contains(gp, ' - ') and lower(gs) not in {LABEL_SQL} and not regexp_matches(ga, '[0-9]') as above, par = base and gp <> '' as same, {_owner('gp')} as own, {_owner('ggp')} as own2 from c6),
+c8 as (select *, case when above then ga else '' end as a1, case when above and series0 = '' then gs else series0 end as s1, case when same then {_person('own')} else gp <> '' and {_person('gp')} end as from_gp, not same and gp <> '' and not {_person('gp')} and ggp <> '' and {_person('ggp')} as from_ggp from c7),
+c9 as (select *, case when a1 = '' and from_gp then own when a1 = '' and from_ggp then own2 else a1 end as a2, case when a1 = '' and from_ggp and s1 = '' then {_trimmed("regexp_replace(regexp_replace(gp, '\\s*\\[.*?\\]', '', 'g'), '\\s*\\(.*?\\)', '', 'g')")} else s1 end as s2,
+{_trimmed("split_part(par, '-', 1)")} as dl, {_trimmed(_after('par', '-'))} as dr from c8),
+d1 as (select *, a2 = '' and s2 = '' and title0 = '' and contains(par, '-') and not regexp_matches(par, '-#[0-9]+') and {_person('dl')} and length(dr) >= 3 as dash from c9),
+d2 as (select *, case when dash then dl else a2 end as a3, case when dash then dr else title0 end as t1 from d1), d3 as (select * , case when a3 <> '' and lower(a3) = lower(s2) then '' else a3 end as author, s2 as series from d2),
+d4 as (select *, case when t1 = '' then {_trimmed(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_NAMED}, '\\[[0-9]+\\]', '', 'g'), '^\\s*\\[(.+)\\]\\s*$', '\\1', 'g'), '^[0-9]+\\s*[-–]?\\s*', ''), '\\s+', ' ', 'g')")} else t1 end as t2 from d3),
+d5 as (select *, {_trimmed("regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t2, '\\s*\\{[^}]+\\}', '', 'g'), '\\s*\\([^)]*\\b[0-9]+k\\b[^)]*\\)', '', 'g'), '\\s*\\([A-Z][a-z]+\\)\\s+[0-9]+k\\s+[0-9.]+', '', 'g'), '(?i)\\s*\\((?:The\\s+)?Audio\\s*Book\\)', '', 'g'), '(?i)\\s*\\(Unabridged\\)', '', 'g'), '([\\p{L}\\p{N}_])-\\s', '\\1 ', 'g'), '-$', '')")} as t3 from d4),
+d6 as (select *, series = '' and regexp_matches(t3, {_PAREN}) as has, regexp_replace({_trimmed(f'regexp_extract(t3, {_PAREN}, 2)')}, '[ ,-]+$', '') as ins, regexp_replace({_trimmed(f'regexp_extract(t3, {_PAREN}, 1)')}, '[ -]+$', '') as bef from d5),
+d7 as (select *, has and regexp_matches(ins, '^[0-9]{{4}}$') as yr, has and not regexp_matches(ins, '^[0-9]{{4}}$') and length(ins) >= 3 and lower(ins) not in {LABEL_SQL} as good from d6),
+d8 as (select *, case when yr and pos0 = '' then ins when good and pos0 = '' then regexp_extract(t3, {_PAREN}, 3) else pos0 end as p4, case when good then ins else series end as s4, case when yr or good then bef else t3 end as t4 from d7),
+d9 as (select *, {_trimmed("regexp_replace(regexp_replace(regexp_replace(base, '\\[[0-9]+\\]', '', 'g'), '^[0-9]+\\s*[-–]?\\s*', ''), '\\s+', ' ', 'g')")} as fb from d8),
+e1 as (select *, case when t4 = '' then case when fb = '' then base else fb end else t4 end as t5, {_trimmed("case when marked then mp else p4 end")} as p5 from d9)
+select entry_id, {_trimmed("case when marked then ma else author end")} as author, regexp_replace({_trimmed("case when marked then mt else t5 end")}, '^[- ]+', '') as title, regexp_replace({_trimmed("case when marked then ms else s4 end")}, '[- ]+$', '') as series,
+case when regexp_matches(p5, '^[0-9]+$') then regexp_replace(p5, '^0+([0-9])', '\\1') else p5 end as position from e1"""
+
+
+@query(PARSE_SQL)
+def parse_path_fields(s, d):
+    rows = table(s, d, "library_entries").select("entry_id", "path")
+    return P.parse_columns(rows, "path").select("entry_id", "author", "title", "series", "position")
+
+
 @query(f"select distinct author, {LOOKS} as looks from library_entries")
 def looks_like_author(s, d):
     return table(s, d, "library_entries").select("author").distinct().select("author", T.looks_like_author(c("author")).alias("looks"))
@@ -212,7 +273,14 @@ def folder_hash(s, d):
     return listed.select("folder", T.hash16(F.concat(c("folder"), F.lit("\n"), F.array_join("p", "\n"), F.lit("\n"))).alias("h"))
 
 
-@query()
+def _reply(name: str, drop: str) -> str:
+    lines = f"list_transform(regexp_extract_all(r, '(?im)^\\s*{name}:([^\\n]*)$', 1), lambda v: regexp_replace(regexp_replace(regexp_replace(v, '^\\s+|\\s+$', '', 'g'), '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g'))"
+    return f"list_filter({lines}, lambda v: v <> '' and not regexp_matches(v, '(?i)^(?:{drop})$'))[-1]"
+
+
+@query(f"""with q as (select distinct book_hash, 'AUTHOR: ' || coalesce(parsed_author, 'UNKNOWN') || chr(10) || 'TITLE: "' || coalesce(parsed_title, 'UNKNOWN') || '"' || chr(10) || 'SERIES: ' || coalesce(parsed_series, 'NONE') || chr(10) || 'POSITION: ' || coalesce(parsed_position, 'N/A') as r from books),
+f as (select book_hash, {_reply('AUTHOR', 'UNKNOWN')} as author, {_reply('TITLE', 'UNKNOWN')} as t, {_reply('SERIES', 'NONE|UNKNOWN|N/A')} as series, {_reply('POSITION', 'NONE|UNKNOWN|N/A')} as p from q)
+select book_hash, author, regexp_replace(regexp_replace(regexp_replace(t, '(?i)\\s*\\((?:The\\s+)?Audio\\s*Book\\)', '', 'g'), '(?i)\\s*\\(Unabridged\\)', '', 'g'), '^\\s+|\\s+$', '', 'g') as title, series, case when regexp_matches(p, '^[0-9]+$') then regexp_replace(p, '^0+([0-9])', '\\1') else p end as position from f where author is not null""")
 def kv_reply_parse(s, d):
     reply = F.concat(F.lit("AUTHOR: "), F.coalesce("parsed_author", F.lit("UNKNOWN")), F.lit("\nTITLE: \""), F.coalesce("parsed_title", F.lit("UNKNOWN")), F.lit("\"\nSERIES: "), F.coalesce("parsed_series", F.lit("NONE")), F.lit("\nPOSITION: "), F.coalesce("parsed_position", F.lit("N/A")))
     rows = table(s, d, "books").select("book_hash", reply.alias("r")).distinct()
@@ -360,12 +428,21 @@ def alias_lookup(s, d):
     return b.join(a.withColumnRenamed("variant", "author"), "author", "left").select("author", F.coalesce("canonical", "author").alias("canonical"))
 
 
-@query()
+@query(f"""with al as (select variant, arg_max(canonical, struct_pack(a := created_at, b := canonical)) as canonical from author_aliases where variant is not null and canonical is not null and variant <> canonical group by variant), al2 as (select * from al where canonical <> ''),
+w as (select desired, {sql_chain('desired', T.CLEAN_AUTHOR)} as cleaned from (select distinct parsed_author as desired from books where parsed_author <> '')), w2 as (select *, {last_word("regexp_split_to_array(cleaned, ',\\s*|\\s+and\\s+')[1]")} as surname from w),
+e as (select name as author, {sql_chain("lower(" + sql_chain("name", [T.TRIM]) + ")", T.INDEX_AUTHOR)} as ix, {sql_chain('lower(name)', T.COMPARE)} as cf, {last_word("regexp_split_to_array(" + sql_chain("name", T.CLEAN_AUTHOR) + ", ',\\s*|\\s+and\\s+')[1]")} as surname from (select distinct name from author_ref where name <> '')),
+p as (select desired, case when author = desired then 0 when author = cleaned then 1 when ix = {sql_chain("lower(" + sql_chain("cleaned", [T.TRIM]) + ")", T.INDEX_AUTHOR)} then 2 when cf = {sql_chain('lower(cleaned)', T.COMPARE)} then 3 else 4 end as rank, author from w2 join e using (surname) where surname <> ''),
+b as (select desired, min(struct_pack(rank := rank, author := author)) as m, count(*) as n from p group by desired)
+select w2.desired, coalesce(a1.canonical, case when cleaned <> w2.desired then a2.canonical end, case when m.rank < 4 or n = 1 then m.author end, w2.desired) as result from w2 left join al2 a1 on a1.variant = w2.desired left join al2 a2 on a2.variant = cleaned left join b on b.desired = w2.desired""")
 def surname_match(s, d):
     return L.match_authors(table(s, d, "books").select(c("parsed_author").alias("desired")), table(s, d, "author_ref").select(c("name").alias("author")), L.latest_alias(table(s, d, "author_aliases")))
 
 
-@query()
+@query(f"""with w as (select distinct norm_author as parent, title as desired, {sql_chain('lower(title)', T.COMPARE)} as dn from library_entries where library = 'source'), f as (select distinct norm_author as parent, title as actual, {sql_chain('lower(title)', T.COMPARE)} as an from library_entries where library = 'target'),
+p as (select w.parent, desired, actual, dn, an, list_distinct(list_filter(regexp_split_to_array(dn, '\\s+'), lambda t: t <> '')) as x, list_distinct(list_filter(regexp_split_to_array(an, '\\s+'), lambda t: t <> '')) as y from w join f using (parent)), t as (select *, case when len(x) <= len(y) then x else y end as small, case when len(x) <= len(y) then y else x end as large, len(list_intersect(x, y)) as nb from p),
+r as (select *, case when desired = actual then 0 when dn = an then 1 when len(x) < 2 and len(y) < 2 then null when nb = len(small) and len(small) >= 2 and len(list_filter(large, lambda v: not list_contains(small, v) and v not in {names(D.STOP_WORDS)})) = 0 then 2
+when len(x) + len(y) > 0 and nb / (len(x) + len(y) - nb) >= 0.85 then 2 end as rank from t), b as (select parent, desired, arg_min(actual, struct_pack(r := rank, a := actual)) as actual from r where rank is not null group by all)
+select w.parent, w.desired, coalesce(b.actual, w.desired) as result from w left join b using (parent, desired)""")
 def folder_reuse(s, d):
     e = table(s, d, "library_entries")
     return L.folder_reuse(e.where("library = 'source'").select(c("norm_author").alias("parent"), c("title").alias("desired")), e.where("library = 'target'").select(c("norm_author").alias("parent"), c("title").alias("actual")))

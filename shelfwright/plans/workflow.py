@@ -184,7 +184,7 @@ def source_choice(s, d):
 
 
 @query("""with f as (select array_to_string(string_split(path, '/')[1:-2], '/') as book, arg_min(path, string_split(path, '/')) as path from library_entries group by 1),
-t as (select book, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '[^/]+$'), '\\.[^.]+$', ''), '\\s*\\[[a-f0-9]{16}\\]\\s*', ''), '^[0-9]{4}\\s*-\\s*', ''), ' ' || chr(9)) as title from f)
+t as (select book, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '[^/]+$'), '\\.[^.]+$', ''), '\\s+-\\s+[a-f0-9]{16}$', ''), '^[0-9]{4}\\s*-\\s*', ''), ' ' || chr(9)) as title from f)
 select book, case when lower(title) in ('file', 'mp3', 'audiobook', 'audio', 'book', 'track', 'output', 'part1', 'part2', 'part 1', 'part 2', 'disc1', 'disc2') or regexp_matches(title, '^[0-9]+$') then '' else title end as title from t""")
 def title_of_files(s, d):
     return R.title_of_files(table(s, d, "library_entries").select(P.parent_of(c("path")).alias("book"), "path"))
