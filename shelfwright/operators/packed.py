@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Reference entries with a delimiter of their own, at most: each is a pattern in the plan.
+MAX_ENTRIES = 500
 MARK = "\u0001"
 #: What can stand between values. Each has a private-use stand-in that shields it where it belongs to a value.
 DELIMITERS = (",", ";", "/", "|", "&", "+", "·", "\t", "\n", "、", " and ", " with ")
@@ -100,8 +102,11 @@ def explode_packed(df: DataFrame, key: str, field: str, entries: list[str] = (),
 def found(books: DataFrame, genres: DataFrame) -> DataFrame:
     """book_hash, field, pos, item of every value of a narrator or genre field that packs two or more.
 
-    genres: the reference list (a fixed table of a few dozen entries; it becomes part of the patterns).
+    genres: the reference list, of a checked size (those of its entries that hold delimiters become patterns).
     """
-    names = sorted(r[0] for r in genres.select("genre").where("genre is not null").distinct().collect())
+    own = genres.select("genre").where(F.col("genre").rlike(r"[,;/|&+·\t、]|\band\b|\bwith\b")).distinct()  # the others are never split
+    names = sorted(r[0] for r in own.limit(MAX_ENTRIES + 1).collect())
+    if len(names) > MAX_ENTRIES:
+        raise ValueError(f"more than {MAX_ENTRIES} reference entries with delimiters")
     both = explode_packed(books, "book_hash", "parsed_narrator", names=True).unionByName(explode_packed(books, "book_hash", "parsed_genre", entries=names))
     return both.where("n > 1").select("book_hash", "field", "pos", "item").distinct()
