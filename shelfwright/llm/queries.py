@@ -17,7 +17,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": lambda s, d: canon.found(table(s, d, "books"), table(s, d, "library_entries"), table(s, d, "author_ref")),
         "p4_unmatched": lambda s, d: canon.unmatched(table(s, d, "books"), table(s, d, "library_entries"), table(s, d, "author_ref")),
         "p5_found": lambda s, d: entities.found(table(s, d, "library_entries")),
+        "p5_confidence": lambda s, d: entities.found(table(s, d, "library_entries"), confidence=True),
+        "p5_matched_copies": lambda s, d: entities.matched(table(s, d, "library_entries"))[0],
         "p6_found": lambda s, d: variants.found(table(s, d, "books"), table(s, d, "author_aliases")),
+        "p6_people": lambda s, d: variants.people(variants.spellings(table(s, d, "books"), table(s, d, "author_aliases"))),
         "p7_found": lambda s, d: garble.found(table(s, d, "books")),
         "p7_restored": lambda s, d: garble.found(table(s, d, "books"), restored=True),
         "p8_packs": lambda s, d: packing.packs(table(s, d, "documents"), table(s, d, "pack_sizes")),
