@@ -135,9 +135,13 @@ def common_root(files: DataFrame, path: str = "path") -> DataFrame:
     return ends.select(F.array_join(F.slice("a", 1, F.coalesce(F.array_max(same), F.lit(0))), "/").alias("root"))
 
 
-def topmost_folders(files: DataFrame, suffixes: tuple[str, ...] = D.AUDIO, path: str = "path") -> DataFrame:
-    """folder: folders that hold matching files directly and have no such folder above."""
-    own = files.where(P.has_suffix(F.col(path), *suffixes)).select(P.parent_of(F.col(path)).alias("folder")).distinct()
+def topmost_folders(files: DataFrame, suffixes: tuple[str, ...] = D.AUDIO, path: str = "path", chaptered: bool = False) -> DataFrame:
+    """folder: folders that hold matching files directly and have no such folder above. chaptered: folders with several finished books and
+    nothing that matches count as well (a book in chapters)."""
+    p = F.col(path)
+    rows = files.where(P.has_suffix(p, *suffixes, "m4b")).groupBy(P.parent_of(p).alias("folder"))
+    own = rows.agg(F.bool_or(P.has_suffix(p, *suffixes)).alias("some"), F.count_if(P.has_suffix(p, "m4b")).alias("done"))
+    own = own.where(F.col("some") | (F.lit(chaptered) & (F.col("done") >= 2))).select("folder")
     parts = P.parts(F.col("folder"))
     above = own.select("folder", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("up")).where("folder <> ''")
     under = above.join(own.select(F.col("folder").alias("up")), "up", "left_semi").select("folder").distinct()

@@ -9,10 +9,24 @@ from pyspark.sql.window import Window
 SEVERITY = ("critical", "warning", "info")
 
 
+def severity_rank() -> Column:
+    return F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).when(F.col("severity") == "info", 2).otherwise(3)
+
+
 def ordered_findings(findings: DataFrame) -> DataFrame:
     """Findings by check, then critical, warning, info, then the rest."""
-    rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).when(F.col("severity") == "info", 2).otherwise(3)
-    return findings.orderBy("check", rank, "path")
+    return findings.orderBy("check", severity_rank(), "path")
+
+
+def text_report(findings: DataFrame) -> DataFrame:
+    """value: one line of plain text per finding."""
+    return ordered_findings(findings).select(F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "path", F.lit(": "), "message").alias("value"))
+
+
+def diff_report(missing: DataFrame) -> DataFrame:
+    """value: one Markdown line per missing book, by author and title. missing: author, title, path."""
+    rows = missing.orderBy(F.lower("author"), F.lower("title"), "path")
+    return rows.select(F.concat(F.lit("- "), F.coalesce("author", F.lit("")), F.lit(" - "), F.coalesce("title", F.lit("")), F.lit(" (`"), "path", F.lit("`)")).alias("value"))
 
 
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
