@@ -67,6 +67,7 @@ def _script(c: str) -> str | None:
     return name.split(" ")[0].split("-")[0].title() if name else "Unknown"
 
 
+@lru_cache(maxsize=8192)
 def _resolved(c: str) -> frozenset[str] | None:
     """Scripts in which a letter can stand, look-alikes included."""
     s = _script(c)
@@ -89,6 +90,7 @@ def _respelled(c: str, to: str) -> str:
     return latin if to == "Latin" else next((k for k, v in LOOKS[to].items() if v == latin), c)
 
 
+@lru_cache(maxsize=20_000)
 def _spell(part: str) -> str:
     """The look-alikes of one part of a value (decomposed), in the script that its tokens agree on."""
     tokens = re.split(r"([^\ẁ-ͯ]+)", part)
