@@ -129,26 +129,30 @@ class Model:
 
     # chain
     def fit_chain(self, x: np.ndarray, y: np.ndarray, held: np.ndarray) -> None:
-        self.chain, self.scale = [], []
+        self.chain, self.scale, self.after = [], [], []
         for k in range(len(self.subjects)):
             a = np.hstack([x[:, k], y[:, :k] * 0.5, np.ones((len(x), 1))])
             w = _logistic(a[~held], y[~held, k])
             self.chain.append(w)
+            self.after.append((0.5 * w[x.shape[2] : -1]).tolist())
             z = a[held] @ w
             self.scale.append(_logistic(np.stack([z, np.ones(len(z))], 1), y[held, k], ridge=BELIEF / max(held.sum(), 1), start=np.array([1.0, 0.0])))
 
     def decode(self, x: np.ndarray) -> list[str]:
         """The likeliest combination of labels of a document's features, by beam search along the chain."""
         n = x.shape[1]
-        own = [float(x[k] @ w[:n]) + w[-1] for k, w in enumerate(self.chain)]
         beam: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for k, w in enumerate(self.chain):
-            (a, b), grown = self.scale[k], []
+        for k, (w, after, scale) in enumerate(zip(self.chain, self.after, self.scale)):
+            own, (a, b), grown = float(x[k] @ w[:n] + w[-1]), scale.tolist(), []
             for score, on in beam:
-                z = a * (own[k] + 0.5 * sum(w[n + j] for j in on)) + b
+                z = own
+                for j in on:
+                    z += after[j]
+                z = a * z + b
                 e = math.log1p(math.exp(-abs(z)))  # log odds to log probabilities of yes and no
-                grown += [(score + min(z, 0) - e, (*on, k)), (score - max(z, 0) - e, on)]
-            beam = sorted(grown, reverse=True)[:BEAM]
+                grown += [(score + z - e, (*on, k)), (score - e, on)] if z < 0 else [(score - e, (*on, k)), (score - z - e, on)]
+            grown.sort(reverse=True)
+            beam = grown[:BEAM]
         return [self.subjects[k] for k in beam[0][1]]
 
 
