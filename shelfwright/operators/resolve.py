@@ -124,6 +124,7 @@ def chapter_import(books: DataFrame, records: DataFrame, percent: float = D.CHAP
     return rows.select("book", F.col("r.provider").alias("provider"), action.alias("action"))
 
 
+# The fields of a catalog response, and of the normal form below.
 PRODUCT = (
     "product struct<asin:string,title:string,subtitle:string,authors:array<struct<asin:string,name:string>>,narrators:array<struct<name:string>>,series:array<struct<title:string,sequence:string>>,"
     "category_ladders:array<struct<ladder:array<struct<name:string>>>>,publisher_summary:string,release_date:string,product_images:map<string,string>,copyright:string,publisher_name:string,isbn:string,language:string,"
