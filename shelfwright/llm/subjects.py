@@ -193,15 +193,24 @@ def fit(documents: DataFrame, labels: DataFrame, items: DataFrame | None = None,
     """Train on at most `bound` labelled documents, the first by hash of their id."""
     passages = _passages(items) if items is not None else None
     marked = labels.where("subject is not null and trim(subject) <> '' and doc_id is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-    texts = documents.select("doc_id", "text", "source", "kind", "lang").where("text is not null and text <> ''")
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source", "kind", "lang").where("text is not null and text <> ''")
     first = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    rows = texts.join(first, "doc_id").dropDuplicates(["doc_id"]).collect()
+    terms_of = documents.sparkSession.sparkContext.broadcast(passages)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [[" ".join(t) for t in _parse(text, terms_of.value)] for text in pdf["text"]]
+            yield pdf.drop(columns="text").assign(bags=own)
+
+    # texts are read where they are; the driver gets the terms of their sentences
+    bare = texts.join(first, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "source", "kind", "lang", "subjects")
+    rows = spread(bare, "doc_id").mapInPandas(read, "doc_id bigint, source string, kind string, lang string, subjects array<string>, bags array<string>").collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"]))
     order = Counter(s for r in rows for s in r["subjects"])
     model = Model(sorted(order, key=lambda s: (-order[s], s)))
     if not rows:
         return model, passages
-    bags = [_parse(r["text"], passages) for r in rows]
+    bags = [[tuple(s.split(" ")) if s else () for s in r["bags"]] for r in rows]
     model.fit_terms([(b, set(r["subjects"])) for b, r in zip(bags, rows)])
     post = lru_cache(maxsize=200_000)(model.posterior)
     x, y = [], []
@@ -219,7 +228,10 @@ def fit(documents: DataFrame, labels: DataFrame, items: DataFrame | None = None,
 def classify(documents: DataFrame, model: Model, passages: set[str] | None) -> DataFrame:
     """doc_id, subject of every document, one row per subject."""
 
+    sent = documents.sparkSession.sparkContext.broadcast((model, passages))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, passages = sent.value
         post = lru_cache(maxsize=50_000)(model.posterior)
         parse = lru_cache(maxsize=50_000)(lambda s: None if passages and _of_passage(s, passages) else terms(s))
         for pdf in batches:
