@@ -72,8 +72,24 @@ def reuse_in_order(wanted: DataFrame, folders: DataFrame, rounds: int = 50) -> D
     return kept.select("parent", "desired", "result").unionByName(makers.withColumn("result", F.col("desired"))).unionByName(made)
 
 
-def organize_plan(books: DataFrame, index: DataFrame, override: str | None = None, reorganize: bool = False) -> DataFrame:
-    """book, dest, name, action: where a book goes and what is done.
+def reused_destination(rows: DataFrame, folders: DataFrame, dest: str = "dest", depth: int = 4) -> DataFrame:
+    """The rows (seq and more) with the folders of `dest` replaced, from the top down, by those to use in the library (`reuse_in_order`).
+
+    folders: parent, actual. A destination has `depth` folders at most; those of earlier rows are reused like those that stand already.
+    """
+    out = rows.withColumns({"_parts": F.split(dest, "/"), "_at": F.lit("")})
+    for k in range(depth):
+        own = F.when(F.size("_parts") > k, F.try_element_at("_parts", F.lit(k + 1)))
+        wanted = out.select(F.col("_at").alias("parent"), own.alias("desired"), "seq").where("desired is not null")
+        used = reuse_in_order(wanted, folders).select(F.col("parent").alias("_at"), F.col("desired").alias("_own"), F.col("result").alias("_used"))
+        out = out.withColumn("_own", own).join(used, ["_at", "_own"], "left")
+        out = out.withColumn("_at", F.when(F.col("_own").isNull(), F.col("_at")).otherwise(F.concat_ws("/", F.nullif("_at", F.lit("")), F.coalesce("_used", "_own")))).drop("_own", "_used")
+        out = cut(out)
+    return out.withColumn(dest, F.col("_at")).drop("_parts", "_at")
+
+
+def organize_plan(books: DataFrame, index: DataFrame, override: str | None = None, reorganize: bool = False, folders: DataFrame | None = None) -> DataFrame:
+    """book, dest, name, action: where a book goes and what is done. With `folders` (parent, actual: the library's) near ones are reused.
 
     books: book, seq, source_dir, source_name (its file), author, title, series, position; index: dir, name (files of the library).
     action: no_file, repeated (an earlier row of the batch has the same folder and file name), exists, or copy; when reorganizing instead
@@ -86,6 +102,8 @@ def organize_plan(books: DataFrame, index: DataFrame, override: str | None = Non
     suffix = F.regexp_extract("source_name", r"(?s)^.+(\.[^.]+)$", 1)
     stem = F.regexp_replace("source_name", r"(?s)^(.+)\.[^.]+$", "$1")
     rows = books.withColumns({"_dest": C.destination(author, series, e("title"), e("position")), "_name": F.concat(C.file_name(F.when(T.trim(e("title")) != "", T.trim(e("title"))).otherwise(F.regexp_replace(stem, r"^\d{4}\s*-\s*", "")), series, e("position"), ""), suffix)})
+    if folders is not None:
+        rows = reused_destination(rows, folders, "_dest")
     key = F.when(F.col("source_name").isNotNull(), F.concat_ws("/", P.name_of(F.col("source_dir")), stem))
     rows = first_in_batch(rows.withColumn("_key", key), "_key", "seq")
     have = index.select(F.col("dir").alias("_dest"), F.col("name").alias("_name")).distinct().withColumn("_exists", F.lit(True))

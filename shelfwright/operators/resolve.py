@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import domains as D
 from ..functions import paths as P
@@ -47,6 +48,12 @@ def title_of_files(files: DataFrame) -> DataFrame:
     return first.select("book", F.when(F.lower(name).isin(*D.GENERIC_NAMES) | name.rlike(r"^\d+$"), "").otherwise(name).alias("title"))
 
 
+def first_results(candidates: DataFrame, most: int = 10) -> DataFrame:
+    """The first `most` candidates of each book by place: as many as a search of the catalog gives. candidates: book, place and more."""
+    rank = F.row_number().over(Window.partitionBy("book").orderBy("place", "asin"))
+    return candidates.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
 def best_candidate(books: DataFrame, candidates: DataFrame, least: float = D.CATALOG_SCORE) -> DataFrame:
     """book, candidate (a struct), score: the best catalog record of a book by likeness of title and place, if it scores `least`.
 
@@ -60,13 +67,14 @@ def best_candidate(books: DataFrame, candidates: DataFrame, least: float = D.CAT
     return best.where(F.col("b.score") >= least).select("book", "b.candidate", "b.score")
 
 
-def resolved(books: DataFrame, tags: DataFrame, candidates: DataFrame, authors: DataFrame | None = None, aliases: DataFrame | None = None) -> DataFrame:
+def resolved(books: DataFrame, tags: DataFrame, candidates: DataFrame, authors: DataFrame | None = None, aliases: DataFrame | None = None, replies: DataFrame | None = None) -> DataFrame:
     """book, author, title, series, position, asin, narrator, conflict: a book's metadata from its path, its tags and the catalog.
 
     books: book, stem, author, title, series, position (read from the path); tags: book, tag_author, tag_title; candidates: as for
     `best_candidate`, with series, position and narrator. The tag's title replaces one that is only the file's name. The author is the
     catalog's, else the tag's, else the path's; the catalog fills title, series and position only where the path has none, and only with
-    an author of its own. The author is then brought to the library's spelling (authors: author; aliases: variant, canonical).
+    an author of its own. A reply of a language model (replies: book, author, title, series, position; null or '' where it says nothing)
+    comes before all: what it says counts, and what it leaves open is read from the path. The author is then brought to the library's spelling (authors: author; aliases: variant, canonical).
     """
     e = lambda c: F.coalesce(c, F.lit(""))
     rows = books.join(tags.select("book", "tag_author", "tag_title"), "book", "left")
@@ -76,6 +84,12 @@ def resolved(books: DataFrame, tags: DataFrame, candidates: DataFrame, authors:
     who = e(F.array_join("candidate.authors", ", "))
     author = F.when(who != "", who).when(e(F.col("tag_author")) != "", F.col("tag_author")).otherwise(e(F.col("author")))
     filled = {f: F.when((who != "") & (e(F.col(f)) == ""), e(F.col(f"candidate.{f}"))).otherwise(e(F.col(f))) for f in FIELDS}
+    if replies is not None:
+        said = replies.select("book", *[F.nullif(T.trim(F.col(f)), F.lit("")).alias(f"_{f}") for f in ("author", *FIELDS)])
+        rows = rows.join(said, "book", "left")
+        some = F.coalesce(*[F.col(f"_{f}") for f in ("author", *FIELDS)]).isNotNull()
+        author = F.when(some, F.coalesce("_author", e(F.col("author")))).otherwise(author)
+        filled = {f: F.when(some, F.coalesce(F.col(f"_{f}"), e(F.col(f)))).otherwise(v) for f, v in filled.items()}
     conflict = C.conflicting(F.col("author"), F.col("tag_author"), F.nullif(who, F.lit("")))
     out = rows.select("book", author.alias("author"), *[v.alias(f) for f, v in filled.items()], e(F.col("candidate.asin")).alias("asin"), e(F.col("candidate.narrator")).alias("narrator"), conflict.alias("conflict"))
     if authors is None:

@@ -252,6 +252,12 @@ def chapter_import(s, d):
     return R.chapter_import(_books(s, d).select(c("book_hash").alias("book"), c("parsed_asin").alias("asin"), c("total_duration").alias("duration_s")), records)
 
 
+@query("select asin as book, record_id as place from (select *, row_number() over (partition by asin order by record_id) as rn from catalog_raw where asin is not null) where rn <= 2")
+def first_results(s, d):
+    raw = table(s, d, "catalog_raw").where("asin is not null").select(c("asin").alias("book"), c("record_id").alias("place"), "asin")
+    return R.first_results(raw, 2).select("book", "place")
+
+
 @query()
 def metadata_resolution(s, d):
     """Every book's metadata from its path, tags and catalog records, brought to the library's authors."""
@@ -317,6 +323,13 @@ def organize_plan(s, d):
     return O.organize_plan(b, _index(s, d))
 
 
+@query()
+def organize_plan_reuse(s, d):
+    """The plan with folders of the library, and of earlier books of the batch, reused where they compare equal or near."""
+    b = _manifest(s, d).withColumns({"seq": c("book"), "source_dir": c("source_path"), "source_name": F.when(c("file_count").isNotNull(), F.when(c("file_count") > 1, "01.mp3").otherwise("01.m4b"))})
+    return O.organize_plan(b, _index(s, d), folders=scan.index_tables(table(s, d, "library_entries").where("library = 'target'"))["folders"].select("parent", "actual"))
+
+
 @query(f"""with b as ({ONE_BOOK}), {DEST}, {INDEX}, f as (select dest, min(name) as name from ix where lower(name) like '%.m4b' group by dest)
 select book_hash as book, dest, f.name, coalesce(parsed_author, '') as artist, case when coalesce(parsed_series, '') <> '' and po <> '' then parsed_series || ', Book ' || po when coalesce(parsed_series, '') <> '' then parsed_series else parsed_title end as album,
 nullif(parsed_narrator, '') as composer, nullif(parsed_year, '') as date, nullif(parsed_series, '') as grouping from dst join f using (dest) where coalesce(parsed_title, '') <> ''""")

@@ -86,6 +86,16 @@ def test_resolved(spark):
     assert R.resolved(books.where("false"), tags, cand).count() == 0 and R.resolved(books, tags, cand.where("false")).where("asin <> ''").count() == 0
 
 
+def test_replies_come_first(spark):
+    books = spark.createDataFrame([("a", "s", "Pa", "tide", "Ser", ""), ("b", "s", "Pb", "sea", "", "")], "book string, stem string, author string, title string, series string, position string")
+    tags = spark.createDataFrame([("a", "Tag", "x"), ("b", "Tag", "x")], "book string, tag_author string, tag_title string")
+    none = spark.createDataFrame([], "book string, place int, asin string, title string, authors array<string>, series string, position string, narrator string")
+    said = spark.createDataFrame([("a", None, "The Tide", " ", "2"), ("b", "", None, None, None)], "book string, author string, title string, series string, position string")
+    assert rows(R.resolved(books, tags, none, replies=said), "book", "author", "title", "series", "position") == [("a", "Pa", "The Tide", "Ser", "2"), ("b", "Tag", "sea", "", "")]
+    c = spark.createDataFrame([("a", p, f"A{p}") for p in (3, 1, 2)] + [("b", 9, "B")], "book string, place int, asin string")
+    assert rows(R.first_results(c, 2), "asin") == [("A1",), ("A2",), ("B",)] and R.first_results(c).count() == 4
+
+
 def test_best_candidate_threshold(spark):
     books = spark.createDataFrame([("a", "abcdefghij")], "book string, title string")
     c = lambda t: spark.createDataFrame([("a", 0, "X", t, [])], "book string, place int, asin string, title string, authors array<string>")
@@ -150,6 +160,14 @@ def test_organize_plan(spark):
     assert O.organize_plan(b, ix, override="Zed").where("book = 'a'").first()["dest"].startswith("Zed/")
 
 
+def test_destinations_reuse_folders(spark):
+    b = spark.createDataFrame([("a", 1, "Lee, Ann/The Glass Sea"), ("b", 2, "Lee Ann/Glass Sea"), ("c", 3, "Bob Day/X"), ("d", 4, "bob day/Y/Z")], "book string, seq int, dest string")
+    have = spark.createDataFrame([("", "LEE ANN"), ("LEE ANN", "Old")], "parent string, actual string")
+    got = dict(rows(O.reused_destination(b, have), "book", "dest"))
+    assert got == {"a": "LEE ANN/The Glass Sea", "b": "LEE ANN/The Glass Sea", "c": "Bob Day/X", "d": "Bob Day/Y/Z"}
+    assert O.reused_destination(b, have).columns == b.columns
+
+
 def test_retag_and_companions(spark):
     b = spark.createDataFrame([("a", "Ann Lee", "Sea", "", "", "N", ""), ("b", "Ann Lee", "", "", "", "", ""), ("c", "X", "Y", "", "", "", "")], "book string, author string, title string, series string, position string, narrator string, year string")
     got = O.retag_plan(b, spark.createDataFrame([("Ann Lee/Sea", "z.m4b"), ("Ann Lee/Sea", "a.m4b"), ("X/Y", "a.mp3")], "dir string, name string")).collect()
