@@ -33,6 +33,8 @@ from ..util import spread
 
 #: Words in a row that make a leak; words that a verbatim match has at least.
 RUN, SEED = 12, 3
+#: Words by which suffixes are ordered, at most.
+DEPTH = 16
 #: Words of the items that are searched for at once (more are searched in several rounds), words of a shard of documents.
 BLOCK_WORDS, SHARD_WORDS = 500_000, 1_000_000
 #: A sentence in more than this share of the items (and in three at least) is a lead-in; a word in more than this share is no name.
@@ -121,9 +123,10 @@ class Items:
 
 
 def suffix_array(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The suffixes of `flat` that begin at `starts`, in order of their words (prefix doubling until all differ)."""
+    """The suffixes of `flat` that begin at `starts`, in order of their words: by prefix doubling, until all differ or `DEPTH` words are told
+    apart. Searches are for fewer words; matches are followed to their end in the text."""
     r, d = np.unique(flat, return_inverse=True)[1].astype(np.int64), 1
-    while d < len(r) and r[starts].size and len(np.unique(r[starts])) < len(starts):
+    while d < min(DEPTH, len(r)) and r[starts].size and len(np.unique(r[starts])) < len(starts):
         after = np.concatenate([r[d:] + 1, np.zeros(d, np.int64)])
         r, d = np.unique(r * (len(r) + 2) + after, return_inverse=True)[1].astype(np.int64), 2 * d
     return starts[np.argsort(r[starts], kind="stable")]
