@@ -72,21 +72,21 @@ def _exact(books: DataFrame, source: str, target: str) -> DataFrame:
     return own.join(titles.withColumn("hit", F.lit(True)), "norm_title", "left").select(F.when(F.col("hit"), "matched").otherwise("missing").alias("status"), "author", "title", "norm_title", "path")
 
 
-def library_diff_cascade(entries: DataFrame, asked: Column | None = None, source: str = "source", target: str = "target") -> DataFrame:
+def library_diff_cascade(entries: DataFrame, asked: DataFrame | None = None, source: str = "source", target: str = "target") -> DataFrame:
     """As `library_diff`, with `how`: exact, fuzzy or null. What has no equal title in the target is searched for by likeness.
 
-    The fuzzy search compares its titles with all titles of the target, which has no key; `asked` (a condition on path) tells which books
-    it is done for, all by default. Books that it isn't done for are left out.
+    The fuzzy search compares its titles with all titles of the target, which has no key; `asked` (path) tells which books it is done for,
+    all by default. Books without an equal title that it isn't done for have the status unsearched.
     """
     books = library_books(entries)
-    exact = _exact(books, source, target)
-    exact = cut(exact if asked is None else exact.where(asked))
-    left = exact.where("status = 'missing'")
+    exact = cut(_exact(books, source, target))
+    wanted = exact.select("path") if asked is None else asked.select("path").distinct()
+    left = exact.where("status = 'missing'").join(wanted, "path", "left_semi")
     titles = books.where((F.col("library") == target) & (F.col("norm_title") != "")).select(F.col("norm_title").alias("text"))
     near = fuzzy.links(left.select(F.col("norm_title").alias("text")), titles, "token_set", same=True).where("n_links > 0").select(F.col("text").alias("norm_title"), F.lit(True).alias("near"))
-    rows = exact.join(near, "norm_title", "left")
-    how = F.when(F.col("status") == "matched", "exact").when(F.col("near"), "fuzzy")
-    return rows.select(F.when(how.isNull(), "missing").otherwise("matched").alias("status"), how.alias("how"), "author", "title", "norm_title", "path")
+    rows = exact.join(near, "norm_title", "left").join(wanted.withColumn("asked", F.lit(True)), "path", "left") if asked is not None else exact.join(near, "norm_title", "left").withColumn("asked", F.lit(True))
+    how = F.when(F.col("status") == "matched", "exact").when(F.col("near") & F.col("asked"), "fuzzy")
+    return rows.select(F.when(how.isNotNull(), "matched").when(F.col("asked"), "missing").otherwise("unsearched").alias("status"), how.alias("how"), "author", "title", "norm_title", "path")
 
 
 def duplicate_titles(files: DataFrame, path: str = "path") -> DataFrame:

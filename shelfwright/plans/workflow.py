@@ -355,8 +355,9 @@ def reuse_in_order(s, d):
 
 @query()
 def library_diff_cascade(s, d):
-    """Equal titles of all source books, then likeness for those left whose path hashes to one in twenty, against all target titles."""
-    return L.library_diff_cascade(table(s, d, "library_entries"), F.pmod(F.xxhash64("path"), F.lit(20)) == 0)
+    """Equal titles of all source books; of the rest, those whose file's id is divisible by 20 are searched for among all target titles."""
+    e = table(s, d, "library_entries")
+    return L.library_diff_cascade(e, e.where("entry_id % 20 = 0").select("path"))
 
 
 @query("""with p as (select string_split(path, '/') as p, title from library_entries), a as (select distinct p[1] as a from p where len(p) >= 2), w as (select a, regexp_replace(lower(coalesce(list_filter(regexp_split_to_array(regexp_split_to_array(a, ',\\s*|\\s+and\\s+')[-1], '\\s+'), lambda x: x <> '')[-1], '')), '[.,;:]+$', '') as n from a where a <> '')

@@ -218,4 +218,6 @@ def test_diff_cascade(spark):
     )
     got = rows(L.library_diff_cascade(e), "norm_title", "status", "how")
     assert got == [("glass tide", "matched", "exact"), ("nothing like it", "missing", None), ("winter sea song", "matched", "fuzzy")]  # the title that repeats stands once
+    some = L.library_diff_cascade(e, spark.createDataFrame([("in/Ann Lee/Nothing Like It/Nothing Like It.m4b",)], "path string"))
+    assert rows(some, "norm_title", "status") == [("glass tide", "matched"), ("nothing like it", "missing"), ("winter sea song", "unsearched")]
     assert L.library_diff_cascade(e.where("library = 'source'")).where("status = 'matched'").count() == 0
