@@ -73,8 +73,10 @@ def run_plan(books: DataFrame, stages: DataFrame, files: DataFrame, force: bool
     rows = books.select("book_hash", "mode", "level").join(audio, "book_hash", "left")
     mode = effective_mode(F.col("mode"), F.coalesce("m4b", F.lit(False)), F.coalesce("other", F.lit(False)))
     rows = rows.select("book_hash", F.posexplode(stages_of(mode, F.col("level"))).alias("ord", "stage"))
+    if force:
+        return rows.select("book_hash", "ord", "stage", F.lit("run").alias("action"))
     both = rows.join(stages.select("book_hash", "stage", "status"), ["book_hash", "stage"], "left")
-    done = F.lit(not force) & F.col("status").eqNullSafe("completed")
+    done = F.col("status").eqNullSafe("completed")
     return both.select("book_hash", "ord", "stage", F.when(done, "skip").otherwise("run").alias("action"))
 
 
