@@ -47,3 +47,11 @@ def test_time_of_a_pair():
     n = sum(len(r) for _, _, r in fuzzy._ratio_links(asked, texts, 85))
     took = time.process_time() - took
     assert n >= len(asked) and took / (len(asked) * len(texts)) < 100e-9
+
+
+def test_texts_stay_in_the_audit(spark):
+    """No text is sent once for every block of queries, which is what filled the audit's time and shuffle."""
+    from shelfwright.plans import reference
+
+    plan = reference.queries()["audit_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
