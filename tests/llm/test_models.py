@@ -250,6 +250,17 @@ def test_keys_of_many_pairs(spark, monkeypatch):
         assert {(r["a"], r["b"]) for r in entities.candidates(own, "source", "target").collect()} == {(1, 2), (1, 3)}, (x, y)
 
 
+def test_keys_of_many_pairs_and_two_slips(spark, monkeypatch):
+    """Words of other beginnings meet under keys of many pairs with as many slips as the likeness of titles allows, and cut off to two letters."""
+    monkeypatch.setattr(entities, "KEY_PAIRS", 0)
+    monkeypatch.setattr(entities, "BLOCK", 3)
+    alike = [("glass tide of winter", "lgass tide of witner", False), ("letters from zazvapful", "letters from azzvapflu", True), ("letters from kamposgop", "letters from amposgpo", True), ("second comet restless", "second comet re", True), ("letters from zazvapful", "letters from kidmongop", False)]
+    for x, y, meet in alike + [(b, a, m) for a, b, m in alike]:
+        own = spark.createDataFrame([(1, "source", "ann lee", x, "", ""), (2, "target", "", y, "", ""), (3, "target", "ann lee", y, "", ""), (4, "target", "ann lee", "letters from here", "", "")], "unit bigint, library string, who string, name string, volume string, alt string")
+        got = {(r["a"], r["b"]) for r in entities.candidates(own, "source", "target").collect()} - {(1, 4)}
+        assert got == ({(1, 2), (1, 3)} if meet else set()), (x, y)
+
+
 def _cells(rng, truth):
     """Grid cells of pairs: matches, other titles of the author, other authors and other volumes."""
     import numpy as np
