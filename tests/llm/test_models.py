@@ -261,6 +261,18 @@ def test_keys_of_many_pairs_and_two_slips(spark, monkeypatch):
         assert got == ({(1, 2), (1, 3)} if meet else set()), (x, y)
 
 
+def test_candidates_leave_only_pairs(spark):
+    """The keys are off the disk when the pairs are stored."""
+    import os
+
+    from shelfwright.util import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = {*os.listdir(folder)}
+    own = spark.createDataFrame([(1, "source", "ann lee", "glass tide", "", ""), (2, "target", "ann lee", "glass tide", "", "")], "unit bigint, library string, who string, name string, volume string, alt string")
+    assert entities.candidates(own, "source", "target").count() == 1 and len({*os.listdir(folder)} - before) == 1
+
+
 def _cells(rng, truth):
     """Grid cells of pairs: matches, other titles of the author, other authors and other volumes."""
     import numpy as np
