@@ -55,3 +55,40 @@ def test_texts_stay_in_the_audit(spark):
 
     plan = reference.queries()["audit_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+
+
+def test_queries_leave_parts_of_texts(spark, monkeypatch):
+    """Most pairs are ruled out by parts of texts, not one by one, and none of those with the ratio is lost."""
+    rng = random.Random(4)
+    texts = _texts(6000, rng)
+    asked, met, xor = texts[::12] + ["a", "the winter of zidzidzid", "x" * 300], [], np.bitwise_xor
+    monkeypatch.setattr(fuzzy, "FEW", 100, raising=False)
+    monkeypatch.setattr(fuzzy, "LEAF", 16, raising=False)
+    monkeypatch.setattr(fuzzy.np, "bitwise_xor", lambda a, b, out=None: met.append(out.size) or xor(a, b, out=out))
+    got = {(int(a), int(b)) for i, j, _ in fuzzy._ratio_links(asked, texts, 85) for a, b in zip(i, j)}
+    assert 0 < sum(met) < 0.4 * len(asked) * len(texts)
+    some = range(0, len(asked), 20)
+    assert {p for p in got if p[0] in some} == {(i, j) for i in some for j, t in enumerate(texts) if S.ratio_of(asked[i], t) >= 85}
+
+
+def test_titles_are_made_once(spark):
+    """No filter on titles, which would make each of them once more, stands below their grouping."""
+    from shelfwright.operators import library
+
+    df = spark.createDataFrame([("a/b.m4b",), ("c/b (x).m4b",), ("c/(x).m4b",), ("d/(y).m4b",), (None,)], "path string")
+    out = library.duplicate_titles(df)
+    assert [tuple(r) for r in out.collect()] == [("b", 2, "a/b.m4b")]
+    below = out._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[2]
+    assert below and not [x for x in below.split("\n") if "Filter" in x and "regexp_replace" in x]
+
+
+def test_title_without_steps_that_change_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from shelfwright.functions import text as T
+
+    rng = random.Random(5)
+    bits = ["[", "(", ")", "]", " part 2", " volume x", " - book 3", "book 1 - ", "_book a-", "dragonlance", "dragon,lance", " - the x saga", " - tolkien", "12_", " - a. b. c", "a-b-c", "_", ",", " ", "\t", "é", "Word", "9"]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randint(0, 7))),) for _ in range(2000)] + [(None,)]
+    df = spark.createDataFrame(rows, "t string").select(T.dedup_title(F.col("t")).alias("a"), T.chain(F.lower(F.col("t")), T.DEDUP_HEAD + T.DEDUP_TAIL).alias("b"))
+    assert df.where("not a <=> b").count() == 0 and df.where("a is not null").count() == 2000
